@@ -15,7 +15,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, mix64, release_shuffles, strings
@@ -349,7 +349,7 @@ def _compare(num: int, den: int):
     return run
 
 
-def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100) -> DataFrame:
+def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detail: bool = False) -> DataFrame:
     """Link ``docs(doc_id, text)`` whose shingle sets have Jaccard ``num / den`` or more, exactly.
 
     Returns per row ``doc_id, n_shingles, n_similar`` (other rows linked directly) and ``component_id`` (the
@@ -357,10 +357,11 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100) -> Da
     lower case. Null, empty and blank texts have no shingle and link with nothing; repeated rows are rows of
     their own that link with one another; a null ``doc_id`` counts as a row, but is a component's id only if
     no row of it has one; an empty table gives no rows; other columns are not read. Shingles are compared by
-    64-bit hash, sets by 128-bit hash.
+    64-bit hash, sets by 128-bit hash. With ``detail``, also ``text_hash`` (xxhash64) and ``class``, which the rows of
+    a component have in common (null without shingles).
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = frequent_shingles(docs, size)
     tokens, counts = (spark.sparkContext.broadcast(x) for x in found)
     pairs = opened_groups(docs, size, num, den, tokens, counts)
@@ -388,10 +389,11 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100) -> Da
                 k = 0 if o is None else int(np.searchsorted(o, U64(g)))
                 data.append(raw if o is None or k < len(o) and int(o[k]) == g else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n_shingles", "digest", "grp", "data"]
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.int64()), pa.array(data, pa.binary())],
+                ["doc_id", "text_hash", "n_shingles", "digest", "grp", "data"],
             )
 
-    rows = materialise(docs.mapInArrow(describe, "doc_id long, n_shingles long, digest binary, grp long, data binary"), "sets")
+    rows = materialise(docs.mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, digest binary, grp long, data binary"), "sets")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     opened = rows.where("data is not null").groupBy("digest").agg(F.first("grp").alias("node"), F.first("data").alias("data"))
     members = materialise(opened.join(classes, "digest").join(part_of, "node").select("component", "digest", "copies", "data"), "members")
@@ -408,5 +410,22 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100) -> Da
     known = classes.join(linked, "digest", "left").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     known = materialise(known, "classes")
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    result = known.join(lowest, "root").select("digest", (F.col("copies") - 1 + F.coalesce("add", F.lit(0))).alias("n_similar"), "component_id")
-    return rows.select("doc_id", "n_shingles", "digest").join(result, "digest", "left").select("doc_id", "n_shingles", F.coalesce("n_similar", F.lit(0)).alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    result = known.join(lowest, "root").select("digest", (F.col("copies") - 1 + F.coalesce("add", F.lit(0))).alias("n_similar"), "component_id", F.col("root").alias("class"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(result, "digest", "left")
+    out = out.withColumn("n_similar", F.coalesce("n_similar", F.lit(0))).withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "n_similar", "component_id", *(["text_hash", "class"] if detail else []))
+
+
+def one_of_each(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component one row of the smallest id stays.
+
+    Rows without words stay. All columns are kept; the texts are shuffled once, by id and hash.
+    """
+    found = similar(docs, size, num, den, detail=True).where("class is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    keys = found.groupBy("class").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    has = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    given = docs.withColumn("_h", F.xxhash64("text"))
+    met = given.where(has).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
+    return met.withColumn("_n", nth).where("_n = 1").select(*docs.columns).union(docs.where(~has))
