@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylspark.llm import packing, secrets
+from sylspark.llm import jaccard, packing, secrets, toxicity
 from sylspark.llm.common import materialise
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.rejected(docs.select(*COLUMNS), model)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays."""
+    return jaccard.one_of_each(docs.select(*COLUMNS))
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
-    return secrets.redacted(docs.select("doc_id", "text", "lang", "source", "n_chars"))
+    return secrets.redacted(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs)
 
 
-STAGES = [("secret_scan", secret_stage), ("best_fit_packing", packing_stage)]
+STAGES = [("toxicity", toxicity_stage), ("ngram_jaccard_join", jaccard_stage), ("secret_scan", secret_stage), ("best_fit_packing", packing_stage)]
 
 #: Neither a trained classifier nor bin packing is a SQL query.
 ORACLE_SQL = None
