@@ -128,7 +128,7 @@ def train(x: list[np.ndarray], y: np.ndarray, minus: list[np.ndarray], plus: lis
     bad = np.bincount(column, weights=y[row], minlength=len(every))
     p = y.mean()
     z = np.abs(bad - total * p) / np.sqrt(total * p * (1 - p) + 1e-9)
-    z[(total < 3) | (z < 4)] = -1
+    z[(total < 3) | (z < 5)] = -1
     moved = np.unique(np.concatenate([*minus, *plus]))
     top = np.argsort(-z, kind="stable")[:features]
     names = np.union1d(every[top[z[top] > 0]], moved)
