@@ -87,7 +87,6 @@ class Pieces:
         scores, longest = self.scores, self.longest
         start = 0  # everything before is committed
         last: dict[int, tuple[str | None, float]] = {0: (None, 0.0)}  # position: surviving piece that ends there, score
-        committed: str | None = None
         for end in range(1, len(text) + 1):
             chosen = None
             for begin in range(max(start, end - longest), end):
@@ -124,10 +123,7 @@ class Pieces:
                         out.append(last[at][0])
                         at -= len(out[-1])
                     yield from reversed(out)
-                    committed = out[0]
-                    last = {k: v for k, v in last.items() if k > meet}
-                    base = 0.0
-                    last[meet] = (committed, base)
+                    last = {k: v for k, v in last.items() if k >= meet}
                     start = meet
         return
 

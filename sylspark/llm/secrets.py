@@ -31,7 +31,7 @@ IDENTIFIERS = (
 #: Characters on either side of a candidate that its novelty is measured against, and before it that must be sensitive.
 AROUND, BEFORE = 400, 48
 #: Marginal compressed bytes a character from which a candidate can't be told from random.
-NOVELTY = 0.72
+NOVELTY = 0.92
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

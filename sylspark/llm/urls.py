@@ -19,7 +19,7 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 DEPTH = 4
 #: Distinct children from which a parent's children are one wildcard.
 CHILDREN = 64
-#: Labelled URLs that the parent's rate counts as, in a template's rate.
+#: Labelled URLs that the parent's rate counts as, in a node's rate.
 STRENGTH = 4.0
 #: Copies of the template table for the join with the URLs, so that a hot host's URLs are in several tasks.
 SALTS = 8
@@ -94,9 +94,12 @@ def templates(pages: DataFrame, rules=RULES, children: int = CHILDREN, strength:
     counted = materialise(counted.withColumn("t", F.col("shape")).select("host", "shape", "t", "n", "good", "bad"), "paths")
     tree = _merge(_generalise(counted, children)).withColumn("template", F.array_join("t", "/"))
     total = counted.agg(((F.sum("bad") + 1) / (F.sum("good") + F.sum("bad") + 2)).alias("all")).first()["all"] or 0.5
-    by_host = counted.groupBy("host").agg(((F.sum("bad") + strength * F.lit(total)) / (F.sum("good") + F.sum("bad") + strength)).alias("prior"))
-    by_template = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).join(by_host, "host")
-    rated = by_template.select("host", "template", ((F.col("bad") + strength * F.col("prior")) / (F.col("good") + F.col("bad") + strength)).alias("rate"))
+    # every node's rate is smoothed by its parent's, from the host down
+    levels = tree.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("t")))).withColumn("node", F.slice("t", 1, F.col("k")))
+    sums = levels.groupBy("host", "node").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    path = levels.select("host", "template", "k", "node").distinct().join(sums, ["host", "node"]).groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("k", "good", "bad"))).alias("path"))
+    rate = F.aggregate("path", F.lit(float(total)), lambda r, x: (x["bad"] + strength * r) / (x["good"] + x["bad"] + strength))
+    rated = path.select("host", "template", rate.alias("rate"))
     return materialise(tree.join(rated, ["host", "template"]).select("host", "shape", "template", "rate"), "templates")
 
 
