@@ -82,9 +82,18 @@ def brute_links(rows, least):
     return out
 
 
-@pytest.mark.parametrize("full", [4096, 16])
-def test_near_duplicates_against_brute_force(spark, rows, monkeypatch, full):
-    monkeypatch.setattr(neardup, "FULL", full)
+def test_overfull_leaves(monkeypatch):
+    monkeypatch.setattr(neardup, "FULL", 64)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((600, 16))
+    x[300:] = x[:300] + 0.05 * rng.standard_normal((300, 16))
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    found = {tuple(sorted((int(i), int(j)))) for a, b in neardup._links(x, np.arange(600), 0.93, rng) for i, j in zip(a, b)}
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.93, 1)))}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_near_duplicates_against_brute_force(spark, rows):
     got = neardup.near_duplicates(table(spark, rows)).collect()
     want = brute_links(rows, 0.93)
     assert len(got) == len(rows)
