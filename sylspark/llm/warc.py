@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Ids of a segment, and children of a node.
-SEGMENT, FANOUT = 1024, 16
+SEGMENT, FANOUT = 1024, 64
 EOL = "\r\n"
 
 
@@ -46,7 +48,7 @@ def levels(found: DataFrame, fanout: int = FANOUT, depth: int | None = None) ->
     A parent's hash covers its children's numbers, lengths and hashes. Every level is one aggregation; a group
     has ``fanout`` rows at most.
     """
-    at = leaves(found.where("page_id is not null")).select(F.col("page_id").alias("node"), "length", F.sha2(F.col("leaf"), 256).alias("hash"))
+    at = materialise(leaves(found.where("page_id is not null")).select(F.col("page_id").alias("node"), "length", F.sha2(F.col("leaf"), 256).alias("hash")), "level")
     out = [at]
     if depth is None:
         top = found.agg(F.max("page_id")).first()[0] or 0
@@ -57,7 +59,7 @@ def levels(found: DataFrame, fanout: int = FANOUT, depth: int | None = None) ->
         row = F.struct("node", "length", "hash")
         given = at.groupBy(F.floor(F.col("node") / fanout).cast("long").alias("up")).agg(F.sort_array(F.collect_list(row)).alias("rows"), F.sum("length").alias("length"))
         joined = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["node"].cast("string"), r["length"].cast("string"), r["hash"])), ",")
-        at = given.select(F.col("up").alias("node"), "length", F.sha2(joined, 256).alias("hash"))
+        at = materialise(given.select(F.col("up").alias("node"), "length", F.sha2(joined, 256).alias("hash")), "level")
         out.append(at)
     return out
 
@@ -65,9 +67,10 @@ def levels(found: DataFrame, fanout: int = FANOUT, depth: int | None = None) ->
 def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """``page_id, status`` of the leaves that differ: ``corrupt``, ``missing`` (in b) or ``added`` (in b only).
 
-    ``a`` and ``b`` are ``records`` tables. From the root down, a level is joined only with the children of the
+    ``a`` and ``b`` are ``records`` tables, each read once for its leaves. From the root down, a level is joined only with the children of the
     nodes that differ one level up.
     """
+    b = materialise(b, "records")
     top = max(x.agg(F.max("page_id")).first()[0] or 0 for x in (a, b))
     depth = 1
     while fanout**depth <= top:
@@ -78,7 +81,8 @@ def audit(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
             parent = bad.select(F.col("node").alias("up"))
             x, y = (t.withColumn("up", F.floor(F.col("node") / fanout).cast("long")).join(parent, "up", "left_semi").drop("up") for t in (x, y))
         met = x.alias("x").join(y.alias("y"), "node", "full")
-        bad = met.where("not (x.hash <=> y.hash and x.length <=> y.length)").select("node", F.when(F.col("x.hash").isNull(), "added").when(F.col("y.hash").isNull(), "missing").otherwise("corrupt").alias("status"))
+        differ = met.where("not (x.hash <=> y.hash and x.length <=> y.length)").select("node", F.when(F.col("x.hash").isNull(), "added").when(F.col("y.hash").isNull(), "missing").otherwise("corrupt").alias("status"))
+        bad = materialise(differ, "differ")
     return bad.select(F.col("node").alias("page_id"), "status")
 
 
@@ -90,6 +94,7 @@ def fixity(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """
     from pyspark.sql import Window
 
+    a = materialise(a, "records")  # hashes in place of pages
     before = Window.partitionBy("segment").orderBy("page_id", "leaf").rowsBetween(Window.unboundedPreceding, -1)
     placed = a.withColumn("record_offset", F.when(F.col("page_id").isNotNull(), F.coalesce(F.sum("length").over(before), F.lit(0))))
     found = audit(a, b, fanout).where("status <> 'added'")
