@@ -30,7 +30,7 @@ class Tree:
         self.directions, self.at, self.down = [], [], []
         self.leaves, self.margin = 0, margin
         self.root = self._grow(x, leaf, rng)
-        self.directions = np.array(self.directions).reshape(len(self.at), -1)
+        self.directions = np.array(self.directions).reshape(len(self.at), x.shape[1])
 
     def _grow(self, x, leaf, rng) -> int:
         if len(x) > leaf:

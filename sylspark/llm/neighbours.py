@@ -44,7 +44,7 @@ class Index:
         if len(x) < 3:
             return 0.0
         q = x[: min(200, len(x))]
-        s = self.unit(q) @ self.unit(x).T
+        s = self.query(q) @ self.unit(x).T
         s[np.arange(len(q)), np.arange(len(q))] = -1
         k = max(1, min(len(x) - 1, round(k * len(x) / n)))
         return float(np.clip(np.quantile(-np.partition(-s, k - 1, axis=1)[:, k - 1], 0.25), 0.05, 0.98))
