@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import SYLLABLE
 from ..operators.encode import LONGEST, Vocabulary
@@ -68,11 +69,11 @@ def edge_counts(pairs: DataFrame) -> DataFrame:
 
 def windowed(stream: DataFrame, ts: str = "ts", width: str = "1 hour", slide: str | None = None, late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Counts by event-time window, with late data up to the watermark."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, width, slide), by).agg(F.count("*").alias("n"))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width, slide), by).agg(F.count("*").alias("n"))
 
 
 def sessions(stream: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
-    return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n"))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n"))
 
 
 def epochs(stream: DataFrame, every: int, epoch: Callable[[DataFrame, int], None], checkpoint: str) -> DataStreamWriter:
