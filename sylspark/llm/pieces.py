@@ -42,6 +42,7 @@ class Pieces:
         self._apart: dict[tuple[str, str], bool] = {}
         self._words: dict[str, bytes] = {}
         self._plain: dict[int, str] | None = None
+        self._valid: set[str] | None = None
         #: whether pieces never go on past a space, so that every space is a boundary of all paths
         self.cut = all(SPACE not in x.lstrip(SPACE) for x in scores)
 
@@ -82,6 +83,35 @@ class Pieces:
             self._apart[a, b] = found = self.merged(a + b) == [a, b]
         return found
 
+    def _short(self, text: str) -> list[str]:
+        """The pieces of a text that one window holds, for BPE models."""
+        if self._valid is None:
+            self._valid = {x for x in self.scores if len(x) == 1 or self.merged(x) == [x]}
+        valid, apart, longest = self._valid, self._apart, self.longest
+        n = len(text)
+        last: list[str | None] = [""] + [None] * n
+        for end in range(1, n + 1):
+            for begin in range(max(0, end - longest), end):
+                before = last[begin]
+                if before is None:
+                    continue
+                x = text[begin:end]
+                if x not in valid and end - begin > 1:
+                    continue
+                if before:
+                    ok = apart.get((before, x))
+                    if ok is None:
+                        ok = self.apart(before, x)
+                    if not ok:
+                        continue
+                last[end] = x
+                break
+        out, at = [], n
+        while at:
+            out.append(last[at])
+            at -= len(out[-1])
+        return out[::-1]
+
     def stream(self, text: str):
         """Pieces of normalised ``text``, committed as soon as all surviving paths agree on them."""
         scores, longest = self.scores, self.longest
@@ -161,7 +191,8 @@ class Pieces:
         for w in text.split(" "):
             found = words.get(w)
             if found is None:
-                words[w] = found = self._ids(self.stream(SPACE + w))
+                short = self.kind == "bpe" and len(w) < 2 * self.longest
+                words[w] = found = self._ids(self._short(SPACE + w) if short else self.stream(SPACE + w))
             out.append(found)
         return b"".join(out)
 
