@@ -10,11 +10,10 @@ the prefix is long enough that two similar sets must meet in it, whatever the or
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +28,9 @@ POSTINGS = 2_000_000
 BROADCAST_GROUPS = 4_000_000
 #: Sets of one component that are compared with one another in one task.
 BLOCK = 1024
-WORDS = 1_000_000
+WORDS = 400_000
+#: Rows of a batch that are worked on at once.
+ROWS = 512
 
 
 class _Words(dict):
@@ -61,9 +62,11 @@ def shingles(text: str, size: int = 2) -> np.ndarray:
 
 
 def _sets(batches, size):
-    """(batch, list of shingle arrays)"""
+    """(part of a batch, list of shingle arrays)"""
     for batch in batches:
-        yield batch, [shingles(x, size) for x in strings(batch.column(1))]
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            yield part, [shingles(x, size) for x in strings(part.column(1))]
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,31 +97,36 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return tokens[order], c[order]
 
 
-def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold one."""
-    p = len(s) - -(-num * len(s) // den) + 1
-    if not len(tokens):
-        return s[:p]
-    at = np.searchsorted(tokens, s)
-    at[at == len(tokens)] = 0
-    often = np.where(tokens[at] == s, counts[at], 0)
-    return s[np.argsort(often, kind="stable")][:p]
-
-
-def group_of(front: np.ndarray) -> int:
-    return int(mix64(front ^ U64(0x5851F42D4C957F2D)).min())
+def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold one, and the set's group.
 
+    A group is a min-hash of the prefix's infrequent shingles, and a class of sizes, so that its members are alike
+    and the bounds over it are tight. Which group a set is in decides nothing but the cost.
+    """
+    p = len(s) - -(-num * len(s) // den) + 1
+    rare = p
+    if len(tokens):
+        at = np.searchsorted(tokens, s)
+        at[at == len(tokens)] = 0
+        often = np.where(tokens[at] == s, counts[at], 0)
+        order = np.argsort(often, kind="stable")
+        s, rare = s[order], int((often == 0).sum())
+    front = s[:p]
+    least = mix64(front[: min(p, rare) or p] ^ U64(0x5851F42D4C957F2D)).min()
+    return front, int(mix64(np.array([least ^ U64(int(np.log(len(s)) / np.log(1.25)) << 1)], U64))[0])
 
-def _code(n: int) -> int:
-    """A size in one byte: from ``1.05 ** code`` up."""
-    return min(255, int(math.log(n) / math.log(1.05)))
 
+#: A prefix shingle of a set: its group, the set's size, and the shingle's place in corpus order (both up to 65535).
+POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("size", "<u2"), ("place", "<u2")])
+#: A cell of the matrix: a shingle and a group, the sizes of the members that hold it, and its least place in them.
+CELL = np.dtype([("token", "<u8"), ("group", "<u8"), ("lo", "<u2"), ("hi", "<u2"), ("place", "<u2")])
+#: Two groups, the prefix shingles that they share, their sizes, and whether one is early enough in both.
+PAIR = np.dtype([("g", "<u8"), ("h", "<u8"), ("c", "<u2"), ("glo", "<u2"), ("ghi", "<u2"), ("hlo", "<u2"), ("hhi", "<u2"), ("early", "u1")])
+MOST = 65535
 
-_LOW = np.array([1.05**k - 1e-6 * 1.05**k for k in range(256)])
-_HIGH = np.array([1.05 ** (k + 1) + 1e-6 * 1.05**k for k in range(255)] + [np.inf])
 
-POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("lo", "u1"), ("hi", "u1")])
-PAIR = np.dtype([("g", "<u8"), ("h", "<u8"), ("c", "<u2"), ("glo", "u1"), ("ghi", "u1"), ("hlo", "u1"), ("hhi", "u1")])
+def _high(x: np.ndarray) -> np.ndarray:
+    return np.where(x == MOST, np.inf, x.astype(float))
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -130,12 +138,15 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _merged_postings(x: np.ndarray) -> np.ndarray:
+def _cells(x: np.ndarray) -> np.ndarray:
+    """The matrix cells of postings or of other cells, sorted by shingle, then group."""
     x = x[np.lexsort((x["group"], x["token"]))]
     at = _runs(x["token"], x["group"])
-    out = x[at].copy()
+    out = np.empty(len(at), CELL)
+    lo, hi = ("size", "size") if "size" in x.dtype.names else ("lo", "hi")
+    out["token"], out["group"] = x["token"][at], x["group"][at]
     if len(at):
-        out["lo"], out["hi"] = np.minimum.reduceat(x["lo"], at), np.maximum.reduceat(x["hi"], at)
+        out["lo"], out["hi"], out["place"] = np.minimum.reduceat(x[lo], at), np.maximum.reduceat(x[hi], at), np.minimum.reduceat(x["place"], at)
     return out
 
 
@@ -144,10 +155,10 @@ def _merged_pairs(x: np.ndarray) -> np.ndarray:
     at = _runs(x["g"], x["h"])
     out = x[at].copy()
     if len(at):
-        out["c"] = np.minimum(np.add.reduceat(x["c"].astype(np.int64), at), 65535)
+        out["c"] = np.minimum(np.add.reduceat(x["c"].astype(np.int64), at), MOST)
         for k in ("glo", "hlo"):
             out[k] = np.minimum.reduceat(x[k], at)
-        for k in ("ghi", "hhi"):
+        for k in ("ghi", "hhi", "early"):
             out[k] = np.maximum.reduceat(x[k], at)
     return out
 
@@ -164,11 +175,15 @@ def _met(x: np.ndarray, t: float):
                 own = starts[k : k + step]
                 a = x[np.repeat(own + i, r - 1 - i)]
                 b = x[(own[:, None] + np.arange(i + 1, r)[None, :]).ravel()]
-                fit = (_HIGH[a["hi"]] >= t * _LOW[b["lo"]]) & (_HIGH[b["hi"]] >= t * _LOW[a["lo"]])
-                a, b = a[fit], b[fit]
+                alo, ahi, blo, bhi = a["lo"].astype(float), _high(a["hi"]), b["lo"].astype(float), _high(b["hi"])
+                fit = (ahi >= t * blo) & (bhi >= t * alo)
+                a, b, alo, ahi, blo, bhi = (v[fit] for v in (a, b, alo, ahi, blo, bhi))
                 out = np.empty(len(a), PAIR)
                 out["g"], out["h"], out["c"] = a["group"], b["group"], 1
                 out["glo"], out["ghi"], out["hlo"], out["hhi"] = a["lo"], a["hi"], b["lo"], b["hi"]
+                # similar sets share T = t / (1 + t) * (sizes), so one of the first size - T + 1 of either
+                with np.errstate(invalid="ignore"):
+                    out["early"] = ~((a["place"] > ahi - t / (1 + t) * (ahi + blo) + 1e-6) | (b["place"] > bhi - t / (1 + t) * (bhi + alo) + 1e-6))
                 if len(out):
                     yield out
 
@@ -181,13 +196,13 @@ def qualifies(x: np.ndarray, t: float) -> np.ndarray:
     """
     least = np.full(len(x), np.inf)
     for glo, ghi, hlo, hhi in (("glo", "ghi", "hlo", "hhi"), ("hlo", "hhi", "glo", "ghi")):
-        a = np.minimum(_HIGH[x[ghi]], _HIGH[x[hhi]] / t)
-        b = np.maximum(_LOW[x[hlo]], t * a)
+        a = np.minimum(_high(x[ghi]), _high(x[hhi]) / t)
+        b = np.maximum(x[hlo].astype(float), t * a)
         with np.errstate(invalid="ignore"):
             need = np.where(np.isfinite(a), t / (1 + t) * (a + b) - t * a, 0)
-        can = (a >= _LOW[x[glo]]) & (b <= a) & (b <= _HIGH[x[hhi]])
+        can = (a >= x[glo]) & (b <= a) & (b <= _high(x[hhi]))
         least = np.where(can, np.minimum(least, need), least)
-    return x["c"] + 1e-6 >= least
+    return (x["early"] > 0) & (x["c"] + 1e-6 >= least)
 
 
 def _blobs(x: np.ndarray, bucket: np.ndarray, kind: int):
@@ -213,7 +228,9 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
         held, members, n = [], [], 0
 
         def flush():
-            x = _merged_postings(np.concatenate(held))
+            x = np.concatenate(held)
+            x = x[np.lexsort((x["place"], x["size"], x["group"], x["token"]))]
+            x = x[_runs(x["token"], x["group"], x["size"], x["place"])]
             yield _blobs(x, mix64(x["token"]) % U64(buckets), 0)
             m = np.unique(np.array(members, MEMBER))
             yield _blobs(m, mix64(m["group"]) % U64(buckets), 1)
@@ -222,10 +239,10 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
             for s in sets:
                 if not len(s):
                     continue
-                front = prefix(s, tokens.value, counts.value, num, den)
+                front, group = prefix(s, tokens.value, counts.value, num, den)
                 x = np.empty(len(front), POSTING)
-                x["token"], x["group"] = front, group_of(front)
-                x["lo"] = x["hi"] = _code(len(s))
+                x["token"], x["group"] = front, group
+                x["size"], x["place"] = min(MOST, len(s)), np.minimum(np.arange(len(front)), MOST)
                 held.append(x)
                 members.append((x["group"][0], *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<u8")))
                 n += len(x)
@@ -236,12 +253,12 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
             yield from flush()
 
     def meet(batches):
-        held, members = [], []
+        held, members, cells = [], [], np.empty(0, CELL)
         for batch in batches:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 (members if kind else held).append(np.frombuffer(data.as_buffer(), MEMBER if kind else POSTING))
                 if len(held) > 4096:
-                    held = [_merged_postings(np.concatenate(held))]
+                    cells, held = _cells(np.concatenate([cells, _cells(np.concatenate(held))])), []
                 if len(members) > 4096:
                     members = [np.unique(np.concatenate(members))]
         if members:
@@ -249,12 +266,14 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
             at = _runs(m["group"])
             several = m["group"][at][np.diff(np.append(at, len(m))) > 1]
             x = np.zeros(len(several), PAIR)
-            x["g"], x["h"], x["c"], x["ghi"], x["hhi"] = several, several, 65535, 255, 255
+            x["g"], x["h"], x["c"], x["ghi"], x["hhi"], x["early"] = several, several, MOST, MOST, MOST, 1
             if len(x):
                 yield _blobs(x, mix64(x["g"] ^ mix64(x["h"])) % U64(buckets), 0)
         if held:
+            cells = _cells(np.concatenate([cells, _cells(np.concatenate(held))]))
+        if len(cells):
             pairs, n = [], 0
-            for x in _met(_merged_postings(np.concatenate(held)), t):
+            for x in _met(cells, t):
                 pairs.append(x)
                 n += len(x)
                 if n > POSTINGS:
@@ -289,20 +308,26 @@ def _linked(digests: list[bytes], copies: np.ndarray, side: np.ndarray, sets: li
     n = np.array([len(s) for s in sets], np.int64)
     token, column = np.unique(np.concatenate(sets), return_inverse=True)
     row = np.repeat(np.arange(m), n)
-    shared = np.bincount(column, minlength=len(token)) > 1
-    new = np.cumsum(shared) - 1
-    keep = shared[column]
-    row, column = row[keep], new[column[keep]]
     order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((m, m), np.float32)
+    row, length = row[order], np.bincount(column, minlength=len(token))
+    start = np.cumsum(length) - length
+    both = np.zeros(m * m, np.int64)
+    few = min(12, m)
+    for d in range(2, few + 1):  # shingles of few sets: their pairs one by one
+        own = start[length == d]
+        for i in range(d):
+            for j in range(i):
+                if len(own):
+                    both += np.bincount(row[own + i] * m + row[own + j], minlength=m * m)
+    both = both.reshape(m, m)
+    both = both + both.T
+    most = np.flatnonzero(length > few)
     width = max(256, 2_000_000 // m)
-    for first in range(0, int(shared.sum()), width):
-        i, j = np.searchsorted(column, (first, first + width))
-        part = np.zeros((m, width), np.float32)
-        part[row[i:j], column[i:j] - first] = 1
-        both += part @ part.T
-    both = both.astype(np.int64)
+    for k in range(0, len(most), width):  # shingles of many: a product of matrices
+        own = most[k : k + width]
+        part = np.zeros((m, len(own)), np.float32)
+        part[np.concatenate([row[start[c] : start[c] + length[c]] for c in own]), np.repeat(np.arange(len(own)), length[own])] = 1
+        both += (part @ part.T).astype(np.int64)
     link = den * both >= num * (n[:, None] + n[None, :] - both)
     np.fill_diagonal(link, False)
     if cross:
@@ -325,9 +350,9 @@ def _linked(digests: list[bytes], copies: np.ndarray, side: np.ndarray, sets: li
     return [(digests[i], int(add[i]), digests[find(i)]) for i in range(m) if add[i]]
 
 
-def _compare(num: int, den: int):
+def _compare(size: int, num: int, den: int):
     def run(batches):
-        now, held = None, []
+        now, held, unpack = None, [], zstandard.ZstdDecompressor()
 
         def flush():
             out = []
@@ -342,7 +367,7 @@ def _compare(num: int, den: int):
                     if held:
                         yield flush()
                     now, held = (c, i, j, many), []
-                held.append((digest, copies, b, np.frombuffer(data, U64)))
+                held.append((digest, copies, b, shingles(unpack.decompress(data).decode("utf-8", "surrogatepass"), size)))
         if held:
             yield flush()
 
@@ -374,20 +399,21 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
     open_ = spark.sparkContext.broadcast(np.sort(part_of.select("node").toArrow().column(0).to_numpy().view(U64)) if few else None)
 
     def describe(batches):
+        pack = zstandard.ZstdCompressor(level=3)
         for batch, sets in _sets(batches, size):
             n, digests, groups, data = [], [], [], []
-            for s in sets:
+            for s, text in zip(sets, batch.column(1)):
                 n.append(len(s))
                 if not len(s):
                     digests.append(None), groups.append(None), data.append(None)
                     continue
                 raw = s.tobytes()
-                g = group_of(prefix(s, tokens.value, counts.value, num, den))
+                g = prefix(s, tokens.value, counts.value, num, den)[1]
                 digests.append(xxhash.xxh3_128_digest(raw))
                 groups.append(g - (g >> 63 << 64))
                 o = open_.value
                 k = 0 if o is None else int(np.searchsorted(o, U64(g)))
-                data.append(raw if o is None or k < len(o) and int(o[k]) == g else None)
+                data.append(pack.compress(text.as_py().encode("utf-8", "surrogatepass")) if o is None or k < len(o) and int(o[k]) == g else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.int64()), pa.array(data, pa.binary())],
                 ["doc_id", "text_hash", "n_shingles", "digest", "grp", "data"],
@@ -395,13 +421,17 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
 
     rows = materialise(docs.mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, digest binary, grp long, data binary"), "sets")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
-    opened = rows.where("data is not null").groupBy("digest").agg(F.first("grp").alias("node"), F.first("data").alias("data"))
-    members = materialise(opened.join(classes, "digest").join(part_of, "node").select("component", "digest", "copies", "data"), "members")
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("many"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = members.join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("digest"), F.col("many")).cast("int"))
-    spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "many", "digest", "copies", "b", "data")
+    # where each set of an opened group is compared, from keys alone; the texts then move twice, by set and by task
+    keys = rows.where("data is not null").select("digest", F.col("grp").alias("node")).distinct().join(part_of, "node").select("digest", "component")
+    keys = materialise(keys.join(classes, "digest").select("component", "digest", "copies"), "keys")
+    blocks = keys.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("many"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = keys.join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("digest"), F.col("many")).cast("int"))
+    texts = rows.where("data is not null").groupBy("digest").agg(F.first("data").alias("data"))
+    spread = texts.join(materialise(placed, "placed"), "digest").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    spread = spread.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "many", "digest", "copies", "b", "data")
     compared = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = materialise(compared.mapInArrow(_compare(num, den), "digest binary, add long, root binary, many boolean"), "links")
+    links = materialise(compared.mapInArrow(_compare(size, num, den), "digest binary, add long, root binary, many boolean"), "links")
+    release_shuffles(spark)
     roots = links.where("not many").select("digest", "root")
     over = links.where("many").select(F.col("digest").alias("a"), F.col("root").alias("b"))
     if not over.isEmpty():  # components compared in several blocks

@@ -1,8 +1,6 @@
 import random
 import re
 
-import numpy as np
-
 from sylspark.llm import jaccard
 
 
@@ -49,24 +47,6 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_bundles_are_the_same_pairs(monkeypatch):
-    rng = np.random.default_rng(1)
-    size = rng.integers(20, 60, 90).astype(np.uint16)
-    cells = []
-    for token in range(400):
-        for g in rng.choice(90, rng.integers(2, 40), replace=False):
-            cells.append((token, g, size[g], size[g], rng.integers(0, 20)))
-    x = np.array(cells, jaccard.CELL)
-    x = x[np.lexsort((x["group"], x["token"]))]
-    one = jaccard._merged_pairs(np.concatenate(list(jaccard._met(x, 0.6))))
-    monkeypatch.setattr(jaccard, "LISTS", 1)
-    monkeypatch.setattr(jaccard, "DENSE", 1)
-    two = jaccard._merged_pairs(np.concatenate(list(jaccard._bundled(x, 0.6))))
-    for k in ("g", "h", "c", "glo", "ghi", "hlo", "hhi"):
-        assert (one[k] == two[k]).all()
-    assert (one["early"] <= two["early"]).all()
-
-
 def test_blocks_of_a_large_component(spark, monkeypatch):
     rng = random.Random(5)
     base = [f"b{k}" for k in range(80)]
