@@ -6,6 +6,7 @@ import heapq
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,11 +46,12 @@ def replace_once(seq: DataFrame, left, right, new, key: str = "doc_id", pos: str
     return x.where("not gone").select(key, pos, F.when(F.col("start"), F.lit(new)).otherwise(F.col(sym)).alias(sym))
 
 
-def repair(sequences: list[tuple[list[str], int]], least: int = 3, max_rules: int = LIMIT, max_depth: int = 128) -> list[tuple[str, str, int]]:
+def repair(sequences: list[tuple[list[str], int]], least: int = 3, max_rules: int = LIMIT, max_depth: int = 128, depth: dict[str, int] | None = None, known: set[str] | None = None) -> list[tuple[str, str, int]]:
     """(left, right, frequency) of the rules in order, over weighted sequences; a rule's symbol is its expansion.
 
     Pairs are counted once and kept up to date where a rewrite touches them; the heap holds the largest
-    frequency, ties to the larger left, then the larger right symbol.
+    frequency, ties to the larger left, then the larger right symbol. ``depth`` has the depths of symbols of earlier
+    rules and gets those of new ones. With ``known`` symbols, the first rule whose symbol is known already is the last.
     """
     seqs = [list(s) for s, _ in sequences]
     weight = [w for _, w in sequences]
@@ -66,7 +68,7 @@ def repair(sequences: list[tuple[list[str], int]], least: int = 3, max_rules: in
 
     heap = [Key((n, *p)) for p, n in count.items()]
     heapq.heapify(heap)
-    depth: dict[str, int] = {}
+    depth = {} if depth is None else depth
     rules = []
     while heap and len(rules) < max_rules:
         n, a, b = heapq.heappop(heap)
@@ -82,20 +84,17 @@ def repair(sequences: list[tuple[list[str], int]], least: int = 3, max_rules: in
         new = a + b
         depth.setdefault(new, d)
         rules.append((a, b, n))
+        if known is not None:
+            if new in known:
+                break
+            known.add(new)
         changed = set()
         for k in where.pop(p):
             s, w = seqs[k], weight[k]
             for q in zip(s, s[1:]):
                 count[q] -= w
                 changed.add(q)
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(s[i])
-                    i += 1
+            out = _rewritten(s, a, b, new)
             seqs[k] = out
             for q in zip(out, out[1:]):
                 count[q] += w
@@ -107,25 +106,123 @@ def repair(sequences: list[tuple[list[str], int]], least: int = 3, max_rules: in
     return rules
 
 
-def train(docs: DataFrame, text: str = "text", least: int = 3, max_rules: int = 2000, max_words: int = 2_000_000) -> DataFrame:
+def _rewritten(s: list[str], a: str, b: str, new: str) -> list[str]:
+    out, i = [], 0
+    while i < len(s):
+        if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
+            out.append(new)
+            i += 2
+        else:
+            out.append(s[i])
+            i += 1
+    return out
+
+
+def _applied(s: list[str], order: dict[tuple[str, str], int]) -> list[str]:
+    """``s`` after the rules in their order."""
+    last = -1
+    while len(s) > 1:
+        at = [k for p in zip(s, s[1:]) if (k := order.get(p, -1)) > last]
+        if not at:
+            break
+        last = min(at)
+        a, b = next(p for p in zip(s, s[1:]) if order.get(p) == last)
+        s = _rewritten(s, a, b, a + b)
+    return s
+
+
+#: Distinct pieces of words that the driver trains on in one round.
+PIECES = 150_000
+
+
+def train(docs: DataFrame, text: str = "text", least: int = 3, max_rules: int = LIMIT, max_depth: int = 128, pieces: int | None = None) -> DataFrame:
     """``rule_id, l, r, freq``: Re-Pair over the corpus, with white space as a locked boundary.
 
-    The corpus is reduced to its distinct words with their counts, which is all that rules inside words depend
-    on. The ``max_words`` most frequent words are trained on the driver's behalf in one task; rarer ones, each below
-    every kept count, can't carry a rule of that frequency alone.
+    The corpus is reduced to its distinct words with their counts, which is all that rules inside words depend on; these
+    stay in partitions. Every round takes the rules down to a frequency: a pair that is rarer has no part in them, as
+    rewrites only lower counts, so words fall apart at such pairs, equal pieces add up, and the driver trains on the
+    pieces. The frequency is chosen so that there are ``pieces`` of them or fewer, if more than the most frequent pairs are
+    asked for. A rule whose symbol was there before raises counts, and ends its round. Then the rules are applied to all words.
+    The rules are those of ``repair`` over all words.
     """
     from ..functions.text import syllabify
+    from .graph import _written as materialise
 
     spark = docs.sparkSession
-    counted = docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("w")).where("w <> ''").groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words)
-    seq = counted.select(syllabify(F.col("w")).alias("s"), F.col("count").alias("n"))
+    pieces = pieces or PIECES
+    counted = docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("w")).where("w <> ''").groupBy("w").count()
+    seq = materialise(counted.select(syllabify(F.col("w")).alias("s"), F.col("count").alias("n")).where("size(s) > 1").groupBy("s").agg(F.sum("n").alias("n")), "words")
+    known = {r[0] for r in seq.select(F.explode("s").alias("y")).where("char_length(y) > 1").distinct().collect()}  # syllables: bounded by their patterns
+    rules: list[tuple[str, str, int]] = []
+    depth: dict[str, int] = {}
+    width = 2048
+    while len(rules) < max_rules:
+        last = F.size("s") - 1
+        zipped = F.arrays_zip(F.slice("s", 1, last).alias("l"), F.slice("s", F.lit(2), last).alias("r"))
+        pairs = materialise(seq.select(F.explode(zipped).alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least), "pairs")
+
+        def top(k):
+            found = [r for r in pairs.orderBy(F.desc("freq")).limit(k + 1 + deep).collect()]
+            return [r for r in found if 1 + max(depth.get(r.l, 0), depth.get(r.r, 0)) <= max_depth], len(found) <= k + deep
+
+        deepest = [y for y, d in depth.items() if d >= max_depth]
+        deep = pairs.where(F.col("l").isin(deepest) | F.col("r").isin(deepest)).count() if deepest else 0
+        while True:
+            found, whole = top(width)
+            if not found:
+                return _ruled(spark, rules)
+            freqs = [r.freq for r in found]
+            level = least if whole else min(freqs[-1] + 1, freqs[0])
+            kept = {(r.l, r.r) for r in found if r.freq >= level} if level > freqs[-1] or whole else {(r.l, r.r) for r in pairs.where(F.col("freq") >= level).collect()}
+            cut = materialise(_pieces(seq, spark.sparkContext.broadcast(kept)), "pieces")
+            n = cut.count()
+            if n <= pieces or level >= freqs[0]:
+                break
+            width = max(1, min(width, len(found)) // 2)
+        if n < pieces // 3:
+            width *= 2
+        new = repair([(list(r.s), int(r.n)) for r in cut.toLocalIterator()], level, max_rules - len(rules), max_depth, depth, known)
+        rules += new
+        if len(rules) >= max_rules:
+            break
+        seq = materialise(_reduced(seq, spark.sparkContext.broadcast({(a, b): k for k, (a, b, _) in enumerate(new)})).groupBy("s").agg(F.sum("n").alias("n")), "words")
+    return _ruled(spark, rules)
+
+
+def _ruled(spark, rules: list[tuple[str, str, int]]) -> DataFrame:
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "rule_id long, l string, r string, freq long")
+
+
+def _pieces(seq: DataFrame, shared) -> DataFrame:
+    """``s, n``: the longest runs of pairs of the shared set, and how often they are there."""
+
+    def run(batches):
+        kept = shared.value
+        for batch in batches:
+            found: dict[tuple, int] = defaultdict(int)
+            for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = 0
+                for i in range(1, len(s) + 1):
+                    if i == len(s) or (s[i - 1], s[i]) not in kept:
+                        if i - at > 1:
+                            found[tuple(s[at:i])] += n
+                        at = i
+            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in found], pa.list_(pa.string())), pa.array(list(found.values()), pa.int64())], ["s", "n"])
+
+    return seq.mapInArrow(run, "s array<string>, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
+def _reduced(seq: DataFrame, shared) -> DataFrame:
+    """The sequences after the shared rules; those of one symbol have no pair any more."""
 
-    def run(_, rows: pd.DataFrame) -> pd.DataFrame:
-        rules = repair([(list(s), int(n)) for s, n in zip(rows.s, rows.n)], least, max_rules)
-        return pd.DataFrame({"rule_id": range(len(rules)), "l": [r[0] for r in rules], "r": [r[1] for r in rules], "freq": [r[2] for r in rules]})
+    def run(batches):
+        order = shared.value
+        for batch in batches:
+            done = [(_applied(s, order), n) for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            done = [x for x in done if len(x[0]) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.list_(pa.string())), pa.array([n for _, n in done], pa.int64())], ["s", "n"])
 
-    del spark
-    return seq.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "rule_id long, l string, r string, freq long")
+    return seq.mapInArrow(run, "s array<string>, n long")
 
 
 def effective(rules: DataFrame, id_: str = "rule_id", left: str = "l", right: str = "r") -> DataFrame:

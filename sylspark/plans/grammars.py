@@ -108,12 +108,12 @@ def rule_eff_freq(spark, d):
 
 @query()
 def rule_training(spark, d):
-    return G.train(table(spark, d, "documents"), max_rules=500)
+    return G.train(table(spark, d, "documents"))
 
 
 @query()
 def rule_pruning(spark, d):
-    rules = G.train(table(spark, d, "documents"), max_rules=500).withColumn("id", F.concat("l", "r"))
+    rules = G.train(table(spark, d, "documents")).withColumn("id", F.concat("l", "r"))
     return G.effective(rules, "id").select("rule_id", "l", "r", "freq", "eff_freq", "dead")
 
 

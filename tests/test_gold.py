@@ -158,3 +158,28 @@ def test_word_vectors(spark):
     w = spark.createDataFrame([("ab",)], "word string")
     v = spark.createDataFrame([("<ab", [3.0, 0.0]), ("ab>", [0.0, 4.0]), ("<ab>", [0.0, 0.0])], "gram string, vector array<double>")
     assert similarity.word_vectors(w, v).first().vector == pytest.approx([0.6, 0.8])
+
+
+def test_training_takes_every_word_and_rule(spark):
+    """Rare words together carry frequent pairs; rounds, runs and symbols of two origins change nothing."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice(["ba", "ka", "so", "b", "B", "bBa", "bba", "-", "--", "mi", "nya"]) for _ in range(rng.randrange(1, 12))) for _ in range(150)] + ["-" * n for n in range(1, 20)]
+    docs = spark.createDataFrame([(" ".join(words[k : k + 50]),) for k in range(0, len(words), 50)], "text string").cache()
+    whole = docs.select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").count().select(T.syllabify(F.col("w")).alias("s"), "count").collect()
+    want = G.repair([(list(r[0]), r[1]) for r in whole])
+    assert len(want) > 20
+    for pieces in (60, 100_000):
+        got = sorted(map(tuple, G.train(docs, pieces=pieces).collect()))
+        assert [g[1:] for g in got] == want
+    shallow = G.repair([(list(r[0]), r[1]) for r in whole], max_depth=3)
+    assert [r[1:] for r in sorted(map(tuple, G.train(docs, max_depth=3).collect()))] == shallow
+    assert G.train(docs, max_rules=7).count() == 7
+
+
+def test_registered_training_has_no_cap(spark, sf_dir):
+    from sylspark.plans import grammars
+
+    got = grammars.rule_training(spark, sf_dir).agg(F.count("*").alias("n"), F.min("freq").alias("least")).first()
+    assert got.n > 500 and (got.least == 3 or got.n == G.LIMIT)
