@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,17 +68,63 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def strong_components(e: DataFrame, rounds: int = 50) -> DataFrame:
+#: Edges that are finished on the driver instead of by further rounds.
+LOCAL = 50_000
+
+
+def components_of(pairs: list[tuple]) -> dict:
+    """The smallest node of each node's strongly connected component, by two depth-first searches without recursion."""
+    out: dict = {}
+    back: dict = {}
+    for a, b in pairs:
+        out.setdefault(a, []).append(b), out.setdefault(b, [])
+        back.setdefault(b, []).append(a), back.setdefault(a, [])
+    order, seen = [], set()
+    for root in out:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(out[root]))]
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((y for y in rest if y not in seen), None)
+            if nxt is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(out[nxt])))
+    found: dict = {}
+    for root in reversed(order):
+        if root in found:
+            continue
+        found[root] = root
+        members, todo = [root], [root]
+        while todo:
+            for y in back[todo.pop()]:
+                if y not in found:
+                    found[y] = root
+                    members.append(y), todo.append(y)
+        least = min(members)
+        for y in members:
+            found[y] = least
+    return found
+
+
+def strong_components(e: DataFrame, local: int | None = None) -> DataFrame:
     """``node, scc`` (the smallest node of the strongly connected component).
 
     Trimming of nodes without in- or out-edges, then colouring: the smallest reachable label forwards, and within a
-    colour backwards from its root, until nothing is left. Tables are written between rounds.
+    colour backwards from its root, until nothing is left or what is left has ``local`` edges at most, which the driver
+    finishes. Tables are written between rounds, of which there may be as many as it takes.
     """
+    local = LOCAL if local is None else local
+    kind = e.schema["src"].dataType
     e = _written(e.where("weight > 0 and src <> dst").select("src", "dst").distinct(), "edges")
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     done = None
     live = _written(nodes, "nodes")
-    for _ in range(rounds):
+    while True:
         while True:  # trim
             own = e.select(F.col("src").alias("node")).distinct().intersect(e.select(F.col("dst").alias("node")).distinct())
             single = live.join(own, "node", "left_anti")
@@ -89,6 +136,11 @@ def strong_components(e: DataFrame, rounds: int = 50) -> DataFrame:
             e = _written(e.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
         if live.isEmpty():
             break
+        rest = e.select("src", "dst").limit(local + 1).collect() if local else []
+        if 0 < len(rest) <= local:  # every live node has an edge
+            part = e.sparkSession.createDataFrame(list(components_of([tuple(r) for r in rest]).items()), StructType([StructField("node", kind), StructField("scc", kind)]))
+            done = part if done is None else done.union(part)
+            break
         colour = live.select("node", F.col("node").alias("c"))
         while True:  # smallest label that reaches a node
             step = e.join(colour, e["src"] == colour["node"]).select(F.col("dst").alias("node"), "c").groupBy("node").agg(F.min("c").alias("n"))

@@ -126,6 +126,18 @@ def scc_metrics(spark, d):
     return G.component_metrics(e, G.strong_components(e.withColumn("weight", F.lit(1)))).withColumn("coherence", F.round("coherence", 6))
 
 
+@query()
+def basket_components(spark, d):
+    """Strongly connected components of the basket graph of all rows."""
+    return G.strong_components(basket_edges(spark, d))
+
+
+@query()
+def basket_component_metrics(spark, d):
+    e = basket_edges(spark, d)
+    return G.component_metrics(e, G.strong_components(e)).withColumn("coherence", F.round("coherence", 6))
+
+
 def _label_parts(spark, d):
     """Nodes of the event graph by type, as given components with their measures."""
     x = table(spark, d, "events").groupBy(F.col("event_type").alias("scc")).agg(F.countDistinct("user_id").alias("members"), F.count("*").alias("freq"), F.avg("value").alias("v"))

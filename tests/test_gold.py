@@ -183,3 +183,26 @@ def test_registered_training_has_no_cap(spark, sf_dir):
 
     got = grammars.rule_training(spark, sf_dir).agg(F.count("*").alias("n"), F.min("freq").alias("least")).first()
     assert got.n > 500 and (got.least == 3 or got.n == G.LIMIT)
+
+
+@pytest.mark.parametrize("local", [0, None])
+def test_strong_components_in_rounds_and_on_the_driver(spark, local):
+    pairs = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (4, 5), (6, 0), (5, 5)]
+    e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, weight long")
+    assert {r.node: r.scc for r in graph.strong_components(e, local).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 6}
+
+
+def test_long_chain_of_cycles(spark):
+    """More components in a chain than any number of rounds."""
+    pairs = [p for k in range(60) for p in ((2 * k, 2 * k + 1), (2 * k + 1, 2 * k), (2 * k + 1, 2 * k + 2))][:-1]
+    e = spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, weight long")
+    assert {r.node: r.scc for r in graph.strong_components(e).collect()} == {n: n // 2 * 2 for n in range(120)}
+
+
+def test_basket_components_are_whole(spark, sf_dir):
+    from sylspark.plans import graphs
+
+    e = graphs.basket_edges(spark, sf_dir)
+    ids = {r[0] for r in e.where("src <> dst").select(F.explode(F.array("src", "dst"))).distinct().collect()}
+    got = {r.node: r.scc for r in graphs.basket_components(spark, sf_dir).collect()}
+    assert set(got) == ids and len(ids) > 40
