@@ -18,6 +18,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 #: A run that could be a key: long enough, and both letters and digits in it.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: What can be a value in a candidate: ``=`` is in it only as padding at the end.
+PART = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_=.-]))?")
 SENSITIVE = re.compile(r"(?i:passw|secret|token|api.?key|credential|private|bearer|auth|access|signature)", re.A)
 #: Words that identifiers are made of; a string that they explain is no secret.
 IDENTIFIERS = (
@@ -51,18 +53,25 @@ def marginal_bytes(candidate: str, context: str, identifiers: str = IDENTIFIERS)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Candidates in a sensitive context, outside ``taken``, that neither the text nor the dictionary compresses."""
-    found = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        x = m.group()
-        if not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)):
-            continue
+    """Candidates in a sensitive context, outside ``taken``, that neither the text nor the dictionary compresses.
+
+    In ``name=value`` the parts are judged, with the name as context; the whole only if no part of it is found.
+    """
+
+    def novel(start: int, end: int) -> bool:
+        x = text[start:end]
+        if end - start < 16 or not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)):
+            return False
         if any(s < end and start < e for s, e, _ in taken) or not SENSITIVE.search(text, max(0, start - BEFORE), start):
-            continue
+            return False
         context = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        if marginal_bytes(x, context, identifiers) >= novelty * len(x):
-            found.append((start, end, "novel"))
+        return marginal_bytes(x, context, identifiers) >= novelty * len(x)
+
+    found = []
+    for m in CANDIDATE.finditer(text):
+        parts = [p.span() for p in PART.finditer(text, *m.span())] if "=" in m.group() else []
+        own = [p for p in parts if p != m.span() and novel(*p)]
+        found += [(*p, "novel") for p in own or [m.span()] * novel(*m.span())]
     return found
 
 

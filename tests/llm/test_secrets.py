@@ -39,6 +39,17 @@ def test_identifiers_aren_t_novel():
     assert secrets.spans("access to request_session_user_id_2024 and config.settings.2024.name") == []
 
 
+def test_unspaced_names():
+    for before in ("credential=", "private_key=", "https://x.org/?signature=", "auth=", "AUTH==", "x=1&my_access=", "bearer.id="):
+        for after in ("", "==", "&b=2", " more"):
+            text = before + KEY + after
+            got = secrets.spans(text)
+            assert got == [(len(before), len(before + KEY) + 2 * (after == "=="), "novel")], text
+    assert secrets.redact(f"auth={KEY}", secrets.spans(f"auth={KEY}")) == "auth=[secret]"
+    assert secrets.spans(f"colour={KEY}") == [] and secrets.spans("auth=request_session_user_id_2024") == []
+    assert [s[2] for s in secrets.spans("bearer: q8Zr3vT9xLk=Wm7Yb4Nc6")] == ["novel"]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[3], 25), (2, "fine", 4), (3, None, None)], "doc_id long, text string, n_chars long")
     assert {tuple(r) for r in secrets.redacted(df).collect()} == {(1, "[secret]", 8), (2, "fine", 4), (3, None, None)}
