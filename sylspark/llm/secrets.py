@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
+import string
 
 import pyarrow as pa
 import zstandard
@@ -32,8 +35,11 @@ IDENTIFIERS = (
 )
 #: Characters on either side of a candidate that its novelty is measured against, and before it that must be sensitive.
 AROUND, BEFORE = 400, 48
-#: Marginal compressed bytes a character from which a candidate can't be told from random.
+#: Share of the bytes of random text from which a candidate can't be told from it.
 NOVELTY = 0.92
+_DIGITS, _LOWER = string.digits, string.ascii_lowercase
+#: Hexadecimal, base 32, 36, 62 and 64, and all that a candidate can have.
+ALPHABETS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER + "234567", _LOWER.upper() + "234567", _DIGITS + _LOWER, _DIGITS + _LOWER.upper(), _DIGITS + string.ascii_letters, _DIGITS + string.ascii_letters + "+/", _DIGITS + string.ascii_letters + "-_", _DIGITS + string.ascii_letters + "+/_.-")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -45,11 +51,42 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def marginal_bytes(candidate: str, context: str, identifiers: str = IDENTIFIERS) -> int:
-    """Bytes that ``candidate`` adds to a zstandard frame primed with the identifiers and the surrounding text."""
+def _cost(context: str, identifiers: str = IDENTIFIERS):
+    """A function that gives the bytes a text adds to a zstandard frame primed with the identifiers and ``context``."""
     primer = zstandard.ZstdCompressionDict((identifiers + "\n" + context).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     own = zstandard.ZstdCompressor(level=9, dict_data=primer, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(own.compress(candidate.encode())) - len(own.compress(b""))
+    empty = len(own.compress(b""))
+    return lambda x: len(own.compress(x.encode())) - empty
+
+
+def marginal_bytes(candidate: str, context: str, identifiers: str = IDENTIFIERS) -> int:
+    """Bytes that ``candidate`` adds to a zstandard frame primed with the identifiers and the surrounding text."""
+    return _cost(context, identifiers)(candidate)
+
+
+@functools.lru_cache(maxsize=4096)
+def _random(alphabet: str, length: int) -> tuple[str, ...]:
+    return tuple("".join(random.Random(f"{alphabet}{length}{k}").choices(alphabet, k=length)) for k in range(3))
+
+
+def _like(x: str) -> tuple[str, ...]:
+    """Random texts of the length of ``x`` in the smallest of the alphabets that keys are written in that has its characters."""
+    own = set(x.rstrip("="))
+    return _random(next((a for a in ALPHABETS if own <= set(a)), ALPHABETS[-1]), len(x))
+
+
+def is_novel(candidate: str, context: str, identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> bool:
+    """Whether a candidate costs what random text does: ``novelty`` of its length, or of what random text of its alphabet and length costs here.
+
+    Other occurrences of the candidate in the context explain nothing and are left out.
+    """
+    cost = _cost(context.replace(candidate, " "), identifiers)
+    own = cost(candidate)
+    if own >= novelty * len(candidate):
+        return True
+    if own < 0.5 * novelty * len(candidate):  # no random text of 16 letters or more costs less
+        return False
+    return own >= novelty * sum(map(cost, _like(candidate))) / 3
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> list[tuple[int, int, str]]:
@@ -65,7 +102,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], identifiers: str =
         if any(s < end and start < e for s, e, _ in taken) or not SENSITIVE.search(text, max(0, start - BEFORE), start):
             return False
         context = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-        return marginal_bytes(x, context, identifiers) >= novelty * len(x)
+        return is_novel(x, context, identifiers, novelty)
 
     found = []
     for m in CANDIDATE.finditer(text):

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 
 from sylspark.llm import secrets
 
@@ -50,6 +52,27 @@ def test_unspaced_names():
     assert [s[2] for s in secrets.spans("bearer: q8Zr3vT9xLk=Wm7Yb4Nc6")] == ["novel"]
 
 
+def test_small_alphabets_and_long_keys():
+    rng = random.Random(3)
+    letters = string.ascii_letters + string.digits
+    for alphabet, length in ((string.digits + "ABCDEF", 64), (string.digits + "ABCDEF", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 100), (string.digits + string.ascii_lowercase, 128), (letters + "+/", 300), (letters + "-_", 800), (letters, 24)):
+        found = 0
+        for _ in range(20):
+            key = "".join(rng.choices(alphabet, k=length))
+            found += secrets.spans(f"the bearer is {key} here") == [(14, 14 + length, "novel")]
+        assert found == 20, (alphabet, length, found)
+
+
+def test_keys_that_stand_twice():
+    text = f"credential {KEY} and again credential {KEY} end"
+    assert [s[2] for s in secrets.spans(text)] == ["novel"] * 2
+
+
+def test_long_words_aren_t_novel():
+    for plain in ("abcdefgh1234" * 20, "ABCDEF0123456789" * 8, "request_response_session_client_server_2024" * 3, "A1" * 100):
+        assert secrets.spans(f"the bearer is {plain} here") == [], plain
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[3], 25), (2, "fine", 4), (3, None, None)], "doc_id long, text string, n_chars long")
     assert {tuple(r) for r in secrets.redacted(df).collect()} == {(1, "[secret]", 8), (2, "fine", 4), (3, None, None)}
