@@ -4,7 +4,8 @@ Vectors are hashed by floor((a x + b) / w) for Gaussian a, in a few tables of se
 visits perturbed buckets in the order of their estimated success probability until these add up to ``success``;
 the candidates of all tables are merged and reranked by the exact inner product. For the inner product, vectors
 get a component that makes their norms equal. How near neighbours are (what the estimate needs) is measured on a
-bounded sample; every vector is indexed, and buckets have no cap: crowded ones are split over several regions.
+bounded sample for a first pass; in a second, each query probes for its own k-th score found, if that is farther,
+and where it found fewer than k, everywhere. Every vector is indexed, and buckets have no cap: crowded ones are split over several regions.
 """
 
 from __future__ import annotations
@@ -69,13 +70,14 @@ class Index:
     def codes(self, table: int, x: np.ndarray) -> np.ndarray:
         return self.code(table, np.floor((self.unit(x) @ self.a[table] + self.b[table]) / self.width))
 
-    def probes(self, table: int, q: np.ndarray) -> np.ndarray:
-        """Codes of the buckets that hold a neighbour of the unit query with the given total probability, likeliest first."""
+    def probes(self, table: int, q: np.ndarray, near: float | None = None) -> np.ndarray:
+        """Codes of the buckets that hold a neighbour of the unit query, at the cosine ``near``, with the given total probability, likeliest first."""
+        near = self.near if near is None else near
         c = q @ self.a[table]
-        spread = math.sqrt(1 - self.near**2)
+        spread = math.sqrt(1 - near**2)
         cells, p = np.zeros((1, 0)), np.ones(1)
         for k in range(self.bits):
-            centre = self.near * c[k] + self.b[table][k]
+            centre = near * c[k] + self.b[table][k]
             lo = math.floor((centre - 3.5 * spread) / self.width)
             hi = math.floor((centre + 3.5 * spread) / self.width)
             edges = [0.5 * (1 + math.erf((e * self.width - centre) / spread / 2**0.5)) for e in range(lo, hi + 2)]
@@ -140,9 +142,16 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, index: Index | None
     def probe(batches):
         ix = shared.value
         for batch in batches:
-            for q, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                unit = ix.query(matrix([data]))[0]
-                codes = np.concatenate([ix.probes(t, unit) for t in range(ix.tables)])
+            for q, data, own, enough in zip(*(batch.column(j).to_pylist() for j in range(4))):
+                if not enough:  # all buckets
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(regions, dtype=np.int32)), pa.array(np.ones(regions, np.int32)), pa.array([q] * regions, pa.int64()), pa.array([data] * regions, pa.binary()), pa.array([b""] * regions, pa.binary())], ["region", "kind", "id", "v", "codes"])
+                    continue
+                x = matrix([data])
+                unit = ix.query(x)[0]
+                near = None if own is None else float(np.clip(own / (ix.norm * np.sqrt((x**2).sum())), 0.05, 0.98))
+                if near is not None and near >= ix.near:  # was probed for that already
+                    continue
+                codes = np.concatenate([ix.probes(t, unit, near) for t in range(ix.tables)])
                 at = [_region(codes, np.zeros(len(codes)), regions)]
                 whole = [codes]
                 for c in codes[np.isin(codes.view(np.int64), list(split.value))] if split.value else ():
@@ -157,7 +166,6 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, index: Index | None
                 yield pa.RecordBatch.from_arrays([pa.array(at[starts]), pa.array(np.ones(m, np.int32)), pa.array([q] * m, pa.int64()), pa.array([data] * m, pa.binary()), pa.array(cells, pa.binary())], ["region", "kind", "id", "v", "codes"])
 
     kinds = "region int, kind int, id long, v binary, codes binary"
-    both = loaded.mapInArrow(place, kinds).union(asked.select("q", "v").mapInArrow(probe, kinds))
 
     def search(batches):
         now, rows, codes, ids, held = None, [], [], [], []
@@ -175,6 +183,9 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, index: Index | None
                 uniq, inverse = np.unique(codes, return_inverse=True)
                 hit = np.zeros((len(held), len(uniq)), bool)
                 for r, (_, _, own) in enumerate(held):
+                    if not len(own):
+                        hit[r] = True
+                        continue
                     at = np.searchsorted(uniq, own)
                     at[at == len(uniq)] = 0
                     hit[r, at[uniq[at] == own]] = True
@@ -214,12 +225,22 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, index: Index | None
         if held:
             yield answer()
 
-    met = both.repartition("region").sortWithinPartitions("region", "kind").mapInArrow(search, "q long, c long, score double")
+    def met(queries: DataFrame) -> DataFrame:
+        both = loaded.mapInArrow(place, kinds).union(queries.select("q", "v", "own", "enough").mapInArrow(probe, kinds))
+        return both.repartition("region").sortWithinPartitions("region", "kind").mapInArrow(search, "q long, c long, score double")
+
     # rank classes, then their members: a class's k + 1 smallest ids suffice
     by = Window.partitionBy("q").orderBy(F.desc("score"), "c")
-    best = met.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
-    members = best.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     asks = asked.join(given.where(F.col("vec_id") % every == 0), "v").select("q", F.col("vec_id").alias("query_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = members.join(asks, "q").where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        best = found.groupBy("q", "c").agg(F.max("score").alias("score")).withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
+        members = best.join(classes.select("c", "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
+        return members.join(asks, "q").where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    first = materialise(met(asked.select("q", "v", F.lit(None).cast("double").alias("own"), F.lit(True).alias("enough"))), "first")
+    # the k-th score found is the least that the true one can be: probe again for it, everywhere where there are fewer
+    had = ranked(first).groupBy("q", "query_id").agg(F.min("score").alias("own"), F.count("*").alias("n")).groupBy("q").agg(F.min("own").alias("own"), F.min("n").alias("n"))
+    again = asked.join(had, "q", "left").select("q", "v", "own", (F.coalesce("n", F.lit(0)) >= k).alias("enough"))
+    return ranked(first.union(met(again))).select("query_id", "rank", "vec_id", "score")

@@ -59,6 +59,32 @@ def test_crowded_buckets_are_split(spark, monkeypatch):
     assert len(got) == 8 * 5
 
 
+def test_isolated_queries_among_tight_groups(spark):
+    """Recall by kind of query: the sample's neighbours are near, those of isolated queries are not."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 32))
+    x = np.concatenate([np.repeat(centres, 85, 0) + 0.05 * rng.standard_normal((3400, 32)), rng.standard_normal((600, 32))])
+    x = x / np.sqrt((x**2).sum(1))[:, None]
+    x = x[rng.permutation(len(x))].astype(np.float32).astype(float)
+    got = {}
+    for r in neighbours.nearest(table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = {True: [], False: []}
+    for i in range(0, len(x), 20):
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = np.lexsort((np.arange(len(x)), -s))[:20]
+        recall[bool(s[best[-1]] < 0.8)].append(len(got[i] & set(best.tolist())) / 20)
+        assert len(got[i]) == 20
+    assert len(recall[True]) > 15 and np.mean(recall[True]) >= 0.9 and np.mean(recall[False]) >= 0.9, {k: np.mean(v) for k, v in recall.items()}
+
+
+def test_fewer_rows_than_k(spark):
+    rng = np.random.default_rng(8)
+    got = neighbours.nearest(table(spark, [(i, rng.standard_normal(16).tolist(), 0) for i in range(15)]), every=1).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(i, n) for i in range(15) for n in range(1, 15)]
+
+
 def test_few_candidates(spark):
     rows = [(0, [1.0, 0.0], 0), (20, [0.5, 0.5], 0), (3, [0.0, 1.0], 0), (3, [0.0, 1.0], 0)]
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(table(spark, rows)).collect())
