@@ -171,6 +171,13 @@ def cosine_topk(spark, d):
     return S.top_k(e.where("vec_id % 100 = 0"), e, 5).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
+@query("SELECT a.vec_id AS query_id, b.vec_id, CAST(n AS INTEGER) AS rank, round(s, 5) AS score FROM (SELECT a.vec_id AS x, b.vec_id AS y, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) z JOIN embeddings a ON a.vec_id = x JOIN embeddings b ON b.vec_id = y WHERE n <= 5")
+def cosine_topk_all(spark, d):
+    """For the stated queries, their five nearest among all rows."""
+    e = table(spark, d, "embeddings")
+    return S.nearest_of_all(e.where("vec_id % 100 = 0"), e, 5).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
 @query(f"WITH {W}, b AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_'']+')) AS word FROM benchmark) SELECT word FROM w INTERSECT SELECT word FROM b")
 def ngram_intersect(spark, d):
     b = T.word_rows(table(spark, d, "benchmark"), "item_id").select("word")

@@ -206,3 +206,9 @@ def test_basket_components_are_whole(spark, sf_dir):
     ids = {r[0] for r in e.where("src <> dst").select(F.explode(F.array("src", "dst"))).distinct().collect()}
     got = {r.node: r.scc for r in graphs.basket_components(spark, sf_dir).collect()}
     assert set(got) == ids and len(ids) > 40
+
+
+def test_nearest_of_all_labels(spark):
+    e = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 2), (3, [1.0, 0.2], None), (4, [0.0, 1.0], 1), (5, None, 1)], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in similarity.nearest_of_all(e.where("vec_id in (1, 4)"), e, 2, block=1).collect())
+    assert got == [(1, 1, 2), (1, 2, 3), (4, 1, 3), (4, 2, 2)]
