@@ -242,3 +242,31 @@ def register_take(spark, d):
     inside = Window.partitionBy("rating", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     y = x.join(base, ["rating", "block"]).withColumn("before", F.col("base") + F.coalesce(F.sum("n_words").over(inside), F.lit(0)))
     return y.where("before < 50000").select("doc_id", "rating", "n_words")
+
+
+#: Words of either side of a register split.
+TARGET = 500_000
+
+
+def _side(x, formal: bool, target: int):
+    """Rows from the most formal (or most colloquial) to the neutral ones until there are ``target`` words."""
+    sign = F.col("rating") if formal else -F.col("rating")
+    x = x.withColumn("r", sign).where("r >= 0").withColumn("block", F.floor(F.col("doc_id") / 4096))
+    before = Window.orderBy(F.desc("r"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = x.groupBy("r", "block").agg(F.sum("n_words").alias("s")).select("r", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base")).where(F.col("base") < target)
+    inside = Window.partitionBy("r", "block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    y = x.join(base, ["r", "block"]).withColumn("before", F.col("base") + F.coalesce(F.sum("n_words").over(inside), F.lit(0)))
+    return y.where(F.col("before") < target).select(F.lit("formal" if formal else "colloquial").alias("side"), "doc_id", "rating", "n_words")
+
+
+def split_by_register(rated, target: int = TARGET):
+    """``side, doc_id, rating, n_words``: both sides, each filled up from neutral rows, which can be in both."""
+    return _side(rated, True, target).union(_side(rated, False, target))
+
+
+_SIDE = "SELECT '{}' AS side, doc_id, rating, n_words FROM (SELECT *, coalesce(sum(n_words) OVER (ORDER BY {} DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (" + REGISTER_SQL.replace("{", "{{").replace("}", "}}") + ") WHERE {} >= 0) WHERE before < 500000"
+
+
+@query(_SIDE.format("formal", "rating", "rating") + " UNION ALL " + _SIDE.format("colloquial", "-rating", "-rating"))
+def register_split(spark, d):
+    return split_by_register(_register(spark, d))

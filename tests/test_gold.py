@@ -212,3 +212,12 @@ def test_nearest_of_all_labels(spark):
     e = spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.1], 2), (3, [1.0, 0.2], None), (4, [0.0, 1.0], 1), (5, None, 1)], "vec_id long, embedding array<float>, label int")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in similarity.nearest_of_all(e.where("vec_id in (1, 4)"), e, 2, block=1).collect())
     assert got == [(1, 1, 2), (1, 2, 3), (4, 1, 3), (4, 2, 2)]
+
+
+def test_register_split_has_both_sides(spark):
+    from sylspark.plans import scalars
+
+    x = spark.createDataFrame([(1, 2, 5), (2, 0, 5), (3, -1, 5), (4, 0, 5), (5, 3, 5), (6, -4, 5)], "doc_id long, rating long, n_words long")
+    got = {s: sorted(r.doc_id for r in scalars.split_by_register(x, 14).collect() if r.side == s) for s in ("formal", "colloquial")}
+    assert got == {"formal": [1, 2, 5], "colloquial": [2, 3, 6]}
+    assert {r.doc_id for r in scalars.split_by_register(x).where("side = 'formal'").collect()} == {1, 2, 4, 5} and scalars.TARGET == 500_000
