@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,30 +15,48 @@ _OWN_DIR: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset, as in local tests."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset and the session is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="sylspark-")
     return "file://" + _OWN_DIR[app]
 
 
+#: Whether shuffle files go when their query has ended.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage and survives a lost executor."""
+    """Write ``df`` to the shared folder and read it back, which cuts lineage and survives a lost executor.
+
+    The shuffle files of the write go when it has ended: its result is a written table, and nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of finished jobs, whose results are already written tables."""
-    import gc
+#: Rows and bytes of an Arrow batch at most: whole texts come in batches, and a batch is held several times on its way.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH``; smaller bounds of its own stay."""
+    for key, most in BATCH.items():
+        own = re.match(r"\d+", str(spark.conf.get(key)))
+        if not own or not 0 < int(own.group()) <= most:
+            spark.conf.set(key, str(most))
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -80,7 +99,7 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, edges.select("a", "b").schema)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the component is its smallest node.
 
     Alternating large-star and small-star steps over DataFrames, each round written to the shared folder.
@@ -89,7 +108,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     kind = edges.schema["a"].dataType
     edges = materialise(contracted(edges.select("a", "b").where("a is not null and b is not null and a <> b")), "edges")
     last = None
-    for _ in range(max_rounds):
+    while True:  # every round but the last lowers some label, so it ends
         # large star: every node's larger neighbours point at its smallest neighbour (itself included)
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -4,8 +4,8 @@ Documents with the same shingle set are one representative. Representatives are
 similar ones by a min-hash of their rarest shingles. The matrix of shingles against groups (the union of the
 members' prefix shingles) gives, for every pair of groups, a bound on what any two of their members can share;
 only pairs of groups that qualify are opened, and opened groups are compared exactly. Nothing is approximate:
-the prefix is long enough that two similar sets must meet in it, whatever the order of shingles, and the order
-(shingles that are frequent in the whole corpus last) only decides how few pairs of groups meet by chance.
+the prefix is long enough that two similar sets must meet ``MEET`` times in it, whatever the order of shingles, and
+the order (shingles that are frequent in the whole corpus last) only decides how few pairs of groups meet by chance.
 """
 
 from __future__ import annotations
@@ -17,18 +17,25 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, mix64, release_shuffles, strings
+from .common import connected_components, materialise, mix64, small_batches, strings
 
 U64 = np.uint64
 #: A shingle is frequent if it comes so often among FLUSH shingles of one task; the FREQUENT most frequent ones are broadcast.
 LOCAL, FLUSH, FREQUENT = 4, 3_000_000, 1 << 19
 #: Postings gathered before a task hands them on.
-POSTINGS = 2_000_000
+POSTINGS = 500_000
+#: Prefix shingles that similar sets must share (all that they share, if it is fewer): prefixes are longer by as many, and pairs that meet by chance are fewer.
+MEET = 4
+#: Postings of one bucket, on average; a task holds one bucket at a time.
+BUCKET = 250_000
 #: Opened groups up to this number are broadcast to thin out the sets that are shipped; beyond, the join alone does it.
 BROADCAST_GROUPS = 4_000_000
 #: Sets of one component that are compared with one another in one task.
 BLOCK = 1024
-WORDS = 400_000
+#: Shingles of these sets.
+HEAVY = 2_000_000
+#: Distinct words whose hashes a worker keeps.
+WORDS = 200_000
 #: Rows of a batch that are worked on at once.
 ROWS = 512
 
@@ -69,11 +76,11 @@ def _sets(batches, size):
             yield part, [shingles(x, size) for x in strings(part.column(1))]
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles and their counts, sorted by shingle; at most ``FREQUENT`` of them."""
+def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent shingles and their counts, sorted by shingle, at most ``FREQUENT`` of them; and how many all sets have together."""
 
     def run(batches):
-        held, n = [], 0
+        held, n, total = [], 0, 0
 
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
@@ -84,21 +91,25 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
             for s in sets:
                 held.append(s)
                 n += len(s)
+                total += len(s)
                 if n >= FLUSH:
                     yield flush()
                     held, n = [], 0
         if n:
             yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["token", "c"])  # comes first below
 
     counts = docs.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "token").limit(FREQUENT).toArrow()
+    top = counts.orderBy(F.col("token").isNotNull(), F.desc("c"), "token").limit(FREQUENT + 1).toArrow()
+    total = top.column("c")[0].as_py() if len(top) else 0
+    top = top.slice(1)
     tokens, c = top.column("token").to_numpy().view(U64), top.column("c").to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], c[order]
+    return tokens[order], c[order], total
 
 
 def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold one, and the set's group.
+    """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold ``MEET``, and the set's group.
 
     A group is a min-hash of the prefix's infrequent shingles, and a class of sizes, so that its members are alike
     and the bounds over it are tight. Which group a set is in decides nothing but the cost.
@@ -111,7 +122,7 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den:
         often = np.where(tokens[at] == s, counts[at], 0)
         order = np.argsort(often, kind="stable")
         s, rare = s[order], int((often == 0).sum())
-    front = s[:p]
+    front = s[: p + MEET - 1]
     least = mix64(front[: min(p, rare) or p] ^ U64(0x5851F42D4C957F2D)).min()
     return front, int(mix64(np.array([least ^ U64(int(np.log(len(s)) / np.log(1.25)) << 1)], U64))[0])
 
@@ -120,8 +131,8 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den:
 POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("size", "<u2"), ("place", "<u2")])
 #: A cell of the matrix: a shingle and a group, the sizes of the members that hold it, and its least place in them.
 CELL = np.dtype([("token", "<u8"), ("group", "<u8"), ("lo", "<u2"), ("hi", "<u2"), ("place", "<u2")])
-#: Two groups, the prefix shingles that they share, their sizes, and whether one is early enough in both.
-PAIR = np.dtype([("g", "<u8"), ("h", "<u8"), ("c", "<u2"), ("glo", "<u2"), ("ghi", "<u2"), ("hlo", "<u2"), ("hhi", "<u2"), ("early", "u1")])
+#: Two groups, the shingles that they share early enough in both, and the least of the sizes of members that do.
+PAIR = np.dtype([("g", "<u8"), ("h", "<u8"), ("c", "<u2"), ("glo", "<u2"), ("hlo", "<u2")])
 MOST = 65535
 
 
@@ -150,6 +161,27 @@ def _cells(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _shared(x: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that can meet another of their shingle early enough, and for each the least hash of its shingle's groups."""
+    for _ in range(2):  # the second time without what went
+        at = _runs(x["token"])
+        length = np.diff(np.append(at, len(x)))
+        if not len(at):
+            break
+        lo, hi = x["lo"].astype(float), _high(x["hi"])
+        least = np.repeat(np.minimum.reduceat(lo, at), length)
+        with np.errstate(invalid="ignore"):
+            late = x["place"] > hi - t / (1 + t) * (hi + np.maximum(least, t * lo)) + MEET - 1 + 1e-6
+        x = x[(np.repeat(length, length) > 1) & ~late]
+    if not len(x):
+        return x, np.empty(0, U64)
+    at = _runs(x["token"])
+    length = np.diff(np.append(at, len(x)))
+    least = np.repeat(np.minimum.reduceat(mix64(x["group"]), at), length)
+    some = np.repeat(length, length) > 1
+    return x[some], least[some]
+
+
 def _merged_pairs(x: np.ndarray) -> np.ndarray:
     x = x[np.lexsort((x["h"], x["g"]))]
     at = _runs(x["g"], x["h"])
@@ -158,13 +190,14 @@ def _merged_pairs(x: np.ndarray) -> np.ndarray:
         out["c"] = np.minimum(np.add.reduceat(x["c"].astype(np.int64), at), MOST)
         for k in ("glo", "hlo"):
             out[k] = np.minimum.reduceat(x[k], at)
-        for k in ("ghi", "hhi", "early"):
-            out[k] = np.maximum.reduceat(x[k], at)
     return out
 
 
 def _met(x: np.ndarray, t: float):
-    """Pairs of groups that share a token of merged postings, where sizes allow for similar members; in parts."""
+    """Pairs of groups that share a token of merged postings early enough in both, where sizes allow for similar members; in parts.
+
+    Similar sets share T = t / (1 + t) * (sizes) at least, so MEET of the first size - T + MEET of either.
+    """
     at = _runs(x["token"])
     length = np.diff(np.append(at, len(x)))
     for r in np.unique(length[length > 1]):
@@ -176,33 +209,21 @@ def _met(x: np.ndarray, t: float):
                 a = x[np.repeat(own + i, r - 1 - i)]
                 b = x[(own[:, None] + np.arange(i + 1, r)[None, :]).ravel()]
                 alo, ahi, blo, bhi = a["lo"].astype(float), _high(a["hi"]), b["lo"].astype(float), _high(b["hi"])
-                fit = (ahi >= t * blo) & (bhi >= t * alo)
-                a, b, alo, ahi, blo, bhi = (v[fit] for v in (a, b, alo, ahi, blo, bhi))
+                with np.errstate(invalid="ignore"):
+                    late = (a["place"] > ahi - t / (1 + t) * (ahi + blo) + MEET - 1 + 1e-6) | (b["place"] > bhi - t / (1 + t) * (bhi + alo) + MEET - 1 + 1e-6)
+                fit = (ahi >= t * blo) & (bhi >= t * alo) & ~late
+                a, b = a[fit], b[fit]
                 out = np.empty(len(a), PAIR)
                 out["g"], out["h"], out["c"] = a["group"], b["group"], 1
-                out["glo"], out["ghi"], out["hlo"], out["hhi"] = a["lo"], a["hi"], b["lo"], b["hi"]
-                # similar sets share T = t / (1 + t) * (sizes), so one of the first size - T + 1 of either
-                with np.errstate(invalid="ignore"):
-                    out["early"] = ~((a["place"] > ahi - t / (1 + t) * (ahi + blo) + 1e-6) | (b["place"] > bhi - t / (1 + t) * (bhi + alo) + 1e-6))
+                out["glo"], out["hlo"] = a["lo"], b["lo"]
                 if len(out):
                     yield out
 
 
 def qualifies(x: np.ndarray, t: float) -> np.ndarray:
-    """Whether some members of the two groups could be similar, by their common prefix shingles and sizes.
-
-    Sets of sizes a >= b that are similar share t / (1 + t) * (a + b); outside the common prefix they can share
-    less than t * a. The least that this leaves for the common prefix, over the sizes in the groups, is needed.
-    """
-    least = np.full(len(x), np.inf)
-    for glo, ghi, hlo, hhi in (("glo", "ghi", "hlo", "hhi"), ("hlo", "hhi", "glo", "ghi")):
-        a = np.minimum(_high(x[ghi]), _high(x[hhi]) / t)
-        b = np.maximum(x[hlo].astype(float), t * a)
-        with np.errstate(invalid="ignore"):
-            need = np.where(np.isfinite(a), t / (1 + t) * (a + b) - t * a, 0)
-        can = (a >= x[glo]) & (b <= a) & (b <= _high(x[hhi]))
-        least = np.where(can, np.minimum(least, need), least)
-    return (x["early"] > 0) & (x["c"] + 1e-6 >= least)
+    """Whether some members of the two groups could be similar, by the early shingles that they share and their sizes."""
+    share = np.ceil(t / (1 + t) * (x["glo"].astype(float) + x["hlo"]) - 1e-6)
+    return x["c"] >= np.minimum(MEET, share)
 
 
 def _blobs(x: np.ndarray, bucket: np.ndarray, kind: int):
@@ -218,11 +239,30 @@ BLOB = "bucket int, kind int, data binary"
 MEMBER = np.dtype([("group", "<u8"), ("d0", "<u8"), ("d1", "<u8")])
 
 
-def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts) -> DataFrame:
-    """``(a, b)``: pairs of groups to open; a group with two different sets pairs with itself."""
+def _buckets(batches, kinds):
+    """(bucket, for each kind its arrays) of blobs sorted by bucket, one bucket at a time; arrays are merged as they come."""
+    now, held = None, [[] for _ in kinds]
+    for batch in batches:
+        for bucket, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if bucket != now:
+                if now is not None:
+                    yield held
+                now, held = bucket, [[] for _ in kinds]
+            dtype, merge = kinds[kind]
+            held[kind].append(np.frombuffer(data.as_buffer(), dtype).copy())
+            if len(held[kind]) > 4096:
+                held[kind] = [merge(np.concatenate(held[kind]))]
+    if now is not None:
+        yield held
+
+
+def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts, total: int) -> DataFrame:
+    """``(a, b)``: pairs of groups to open; a group with two different sets pairs with itself. ``total``: shingles of all sets."""
     spark = docs.sparkSession
+    t = num / den
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, t = 4 * parts, num / den
+    buckets = max(parts, int(total * (1 - t) / BUCKET) + 1)
+    parts = max(parts, -(-buckets // 8))
 
     def post(batches):
         held, members, n = [], [], 0
@@ -252,54 +292,59 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
         if n:
             yield from flush()
 
+    def pairs_of(pairs):
+        x = _merged_pairs(np.concatenate(pairs))
+        return x, mix64(x["g"] ^ mix64(x["h"])) % U64(buckets)
+
+    def gather(batches):
+        """Cells of shingles of several groups, by the least hash of these, so that what the same groups share comes together."""
+        for held, members in _buckets(batches, [(POSTING, lambda x: x), (MEMBER, np.unique)]):
+            if members:
+                m = np.unique(np.concatenate(members))
+                at = _runs(m["group"])
+                several = m["group"][at][np.diff(np.append(at, len(m))) > 1]
+                x = np.zeros(len(several), CELL)
+                x["group"] = several
+                if len(x):
+                    yield _blobs(x, mix64(several) % U64(buckets), 1)
+            if held:
+                x, least = _shared(_cells(np.concatenate(held)), t)
+                if len(x):
+                    yield _blobs(x, mix64(least) % U64(buckets), 0)
+
     def meet(batches):
-        held, members, cells = [], [], np.empty(0, CELL)
-        for batch in batches:
-            for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
-                (members if kind else held).append(np.frombuffer(data.as_buffer(), MEMBER if kind else POSTING))
-                if len(held) > 4096:
-                    cells, held = _cells(np.concatenate([cells, _cells(np.concatenate(held))])), []
-                if len(members) > 4096:
-                    members = [np.unique(np.concatenate(members))]
-        if members:
-            m = np.unique(np.concatenate(members))
-            at = _runs(m["group"])
-            several = m["group"][at][np.diff(np.append(at, len(m))) > 1]
-            x = np.zeros(len(several), PAIR)
-            x["g"], x["h"], x["c"], x["ghi"], x["hhi"], x["early"] = several, several, MOST, MOST, MOST, 1
-            if len(x):
-                yield _blobs(x, mix64(x["g"] ^ mix64(x["h"])) % U64(buckets), 0)
-        if held:
-            cells = _cells(np.concatenate([cells, _cells(np.concatenate(held))]))
-        if len(cells):
-            pairs, n = [], 0
-            for x in _met(cells, t):
-                pairs.append(x)
-                n += len(x)
-                if n > POSTINGS:
-                    pairs = [_merged_pairs(np.concatenate(pairs))]
-                    n = len(pairs[0])
+        for held, several in _buckets(batches, [(CELL, lambda x: x), (CELL, lambda x: x)]):
+            if several:
+                g = np.concatenate(several)["group"]
+                x = np.zeros(len(g), PAIR)
+                x["g"], x["h"], x["c"] = g, g, MEET
+                yield _blobs(*pairs_of([x]), 0)
+            if held:
+                pairs, n = [], 0
+                for x in _met(_cells(np.concatenate(held)), t):
+                    pairs.append(x)
+                    n += len(x)
                     if n > POSTINGS:
-                        yield _blobs(pairs[0], mix64(pairs[0]["g"] ^ mix64(pairs[0]["h"])) % U64(buckets), 0)
-                        pairs, n = [], 0
-            if n:
-                x = _merged_pairs(np.concatenate(pairs))
-                yield _blobs(x, mix64(x["g"] ^ mix64(x["h"])) % U64(buckets), 0)
+                        pairs = [pairs_of(pairs)[0]]
+                        n = len(pairs[0])
+                        if n > POSTINGS // 2:
+                            yield _blobs(*pairs_of(pairs), 0)
+                            pairs, n = [], 0
+                if n:
+                    yield _blobs(*pairs_of(pairs), 0)
 
     def judge(batches):
-        held = []
-        for batch in batches:
-            for data in batch.column(2):
-                held.append(np.frombuffer(data.as_buffer(), PAIR))
-                if len(held) > 4096:
-                    held = [_merged_pairs(np.concatenate(held))]
-        if held:
+        for (held,) in _buckets(batches, [(PAIR, _merged_pairs)]):
             x = _merged_pairs(np.concatenate(held))
             x = x[qualifies(x, t)]
-            yield pa.RecordBatch.from_arrays([pa.array(x["g"].view(np.int64) if x["g"].flags.contiguous else x["g"].copy().view(np.int64)), pa.array(x["h"].copy().view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x["g"].copy().view(np.int64)), pa.array(x["h"].copy().view(np.int64))], ["a", "b"])
+
+    def by_bucket(df):
+        return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    met = docs.mapInArrow(post, BLOB).repartition(parts, "bucket").mapInArrow(meet, BLOB)
-    return materialise(met.repartition(parts, "bucket").mapInArrow(judge, "a long, b long"), "opened")
+    cells = by_bucket(docs.mapInArrow(post, BLOB)).mapInArrow(gather, BLOB)
+    met = by_bucket(cells).mapInArrow(meet, BLOB)
+    return materialise(by_bucket(met).mapInArrow(judge, "a long, b long"), "opened")
 
 
 def _linked(digests: list[bytes], copies: np.ndarray, side: np.ndarray, sets: list[np.ndarray], cross: bool, num: int, den: int):
@@ -386,11 +431,11 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
     a component have in common (null without shingles).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    found = frequent_shingles(docs, size)
+    *found, total = frequent_shingles(docs, size)
     tokens, counts = (spark.sparkContext.broadcast(x) for x in found)
-    pairs = opened_groups(docs, size, num, den, tokens, counts)
-    release_shuffles(spark)
+    pairs = opened_groups(docs, size, num, den, tokens, counts, total)
     across = pairs.where("a <> b")
     ids = connected_components(across)
     alone = pairs.where("a = b").select(F.col("a").alias("node")).join(ids, "node", "left_anti")
@@ -422,16 +467,24 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
     rows = materialise(docs.mapInArrow(describe, "doc_id long, text_hash long, n_shingles long, digest binary, grp long, data binary"), "sets")
     classes = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"))
     # where each set of an opened group is compared, from keys alone; the texts then move twice, by set and by task
-    keys = rows.where("data is not null").select("digest", F.col("grp").alias("node")).distinct().join(part_of, "node").select("digest", "component")
-    keys = materialise(keys.join(classes, "digest").select("component", "digest", "copies"), "keys")
-    blocks = keys.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("many"), F.count("*").alias("n")).where("n > 1").drop("n")
-    placed = keys.join(blocks, "component").withColumn("b", F.pmod(F.xxhash64("digest"), F.col("many")).cast("int"))
+    keys = rows.where("data is not null").select("digest", F.col("grp").alias("node"), "n_shingles").distinct().join(part_of, "node")
+    keys = materialise(keys.join(classes, "digest").select("component", "node", "digest", "copies", "n_shingles"), "keys")
+    nodes = materialise(keys.groupBy("component", "node").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("weight")), "nodes")
+    a, b = (nodes.select("component", F.col("node").alias(k), F.col("sets").alias(f"n{k}")) for k in ("a", "b"))
+    costs = pairs.join(a, "a").join(b.drop("component"), "b").groupBy("component").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb"))).alias("cost"))
+    blocks = nodes.groupBy("component").agg(F.sum("sets").alias("n"), F.max("sets").alias("widest"), F.max("weight").alias("heaviest"), F.ceil(F.greatest(F.sum("sets") / F.lit(BLOCK), F.sum("weight") / F.lit(HEAVY))).cast("int").alias("many")).where("n > 1")
+    # a large component is compared by pairs of groups where that moves fewer sets than all pairs of its blocks do
+    pairwise = (F.col("many") > 1) & (F.col("widest") <= BLOCK) & (F.col("heaviest") <= HEAVY) & (F.col("cost") < F.col("n") * F.col("many"))
+    blocks = blocks.join(costs, "component").select("component", "many", pairwise.alias("pairwise"))
+    placed = materialise(keys.join(blocks, "component"), "placed")
+    dense = placed.where("not pairwise").withColumn("b", F.pmod(F.xxhash64("digest"), F.col("many").cast("long"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)))
+    dense = dense.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "many", "digest", "copies", "b")
+    sides = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
+    sparse = placed.where("pairwise").join(sides, "node").select("component", "i", "j", "many", "digest", "copies", F.col("node").alias("b"))
     texts = rows.where("data is not null").groupBy("digest").agg(F.first("data").alias("data"))
-    spread = texts.join(materialise(placed, "placed"), "digest").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
-    spread = spread.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "many", "digest", "copies", "b", "data")
+    spread = dense.union(sparse).join(texts, "digest").select("component", "i", "j", "many", "digest", "copies", "b", "data")
     compared = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     links = materialise(compared.mapInArrow(_compare(size, num, den), "digest binary, add long, root binary, many boolean"), "links")
-    release_shuffles(spark)
     roots = links.where("not many").select("digest", "root")
     over = links.where("many").select(F.col("digest").alias("a"), F.col("root").alias("b"))
     if not over.isEmpty():  # components compared in several blocks
@@ -449,13 +502,23 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
 def one_of_each(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component one row of the smallest id stays.
 
-    Rows without words stay. All columns are kept; the texts are shuffled once, by id and hash.
+    Rows without words (null, empty and blank texts) stay, repeated ones too. Of rows with one id and text, the one
+    with the least hash of all its columns stays. All columns are kept, whatever their names; the texts are shuffled
+    once, by id and hash; an empty table gives no rows.
     """
+    used = {c.lower() for c in docs.columns}
+
+    def fresh(name: str) -> str:
+        while name in used:
+            name += "_"
+        return name
+
+    own, digest, other, nth, whole = map(fresh, ("kept_id", "kept_hash", "text_digest", "nth_row", "row_digest"))
     found = similar(docs, size, num, den, detail=True).where("class is not null")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    keys = found.groupBy("class").agg(first.alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"))
+    keys = found.groupBy("class").agg(first.alias("k")).select(F.col("k.doc_id").alias(own), F.col("k.text_hash").alias(digest))
     has = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    given = docs.withColumn("_h", F.xxhash64("text"))
-    met = given.where(has).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return met.withColumn("_n", nth).where("_n = 1").select(*docs.columns).union(docs.where(~has))
+    given = docs.withColumns({other: F.xxhash64("text"), whole: F.xxhash64(*docs.columns)})
+    met = given.where(has).join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(other) == F.col(digest)))
+    met = met.withColumn(nth, F.row_number().over(Window.partitionBy(own, digest).orderBy(whole)))
+    return met.where(F.col(nth) == 1).select(*docs.columns).union(docs.where(~has))

@@ -60,5 +60,28 @@ def test_blocks_of_a_large_component(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_chained_component_by_pairs_of_groups(spark, monkeypatch):
+    """Each text is similar to its neighbours alone: compared by pairs of groups, not by all pairs of blocks."""
+    words = [f"c{k}" for k in range(400)]
+    rows = [(k, " ".join(words[4 * k : 4 * k + 41])) for k in range(80)] + [(100 + k, " ".join(words[4 * k : 4 * k + 41])) for k in range(0, 80, 7)]
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = [f"v{rng.randrange(40_000)}" for _ in range(90_000)]  # more shingles than sizes and places can tell apart
+    near = [w if rng.random() > 0.05 else "z" for w in long]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:20_000])), (4, "short text here")]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "one two three four", "x", 5), (2, "ONE two three four", "y", 6), (1, "one two three four", "x", 5), (3, None, "z", 7), (3, None, "z", 7), (4, "", "w", 8), (None, "something else", "v", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, nth_row int")
+    kept = sorted(map(tuple, jaccard.one_of_each(df).collect()), key=str)
+    assert kept == sorted([rows[0], *rows[3:]], key=str)
+
+
 def test_empty(spark):
     assert run(spark, []) == []
