@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import small_batches, strings
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lists of identity terms; within a list, one is swapped for the next. In the order of languages en, de, fr, es.
@@ -28,7 +28,8 @@ IDENTITIES = (
     ("mujeres", "hombres", "niñas", "niños"), ("musulmanes", "cristianos", "judíos", "hindúes"), ("extranjeros", "inmigrantes", "refugiados"),
 )
 STARTS = (4, 5, 6)
-CACHE = 1_000_000
+#: Distinct runs of non-space characters whose features a worker keeps.
+CACHE = 250_000
 
 
 def features_of(word: str) -> list[int]:
@@ -94,8 +95,13 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, features: int = 4000, penalty: float = 1.0, ridge: float = 2e-4, rounds: int = 400, identities=IDENTITIES) -> Model:
-    """Fit on at most ``rows`` labelled documents, which are all that reaches the driver, as hashed features."""
+    """Fit on at most ``rows`` labelled documents, which are all that reaches the driver, as hashed features.
+
+    Of several texts of one id, the one of the least hash counts; null texts count as empty; without labelled rows, or with
+    rows of one label, the model is a bias alone.
+    """
     swaps = _swaps(identities)
+    small_batches(docs.sparkSession)
 
     def extract(batches):
         for batch in batches:
@@ -105,7 +111,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, features: int =
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(data, pa.binary()), *(pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1))], ["toxic", "f", "minus", "plus"])
 
     few = F.broadcast(sample(docs, labels, rows))  # bounded by ``rows``
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("text", "toxic")
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
+    chosen = met.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
     got = chosen.mapInArrow(extract, "toxic int, f binary, minus binary, plus binary").toArrow()
     y = np.array(got.column("toxic").to_pylist(), float)
     x, minus, plus = ([np.frombuffer(b, np.uint32) for b in got.column(k).to_pylist()] for k in ("f", "minus", "plus"))
@@ -169,6 +176,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts score the bias alone; repeated rows are rows of their own; a null ``doc_id`` is hashed as
     empty text, so it is held out; an empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 features of each selected word at most
 
     def run(batches):
@@ -182,7 +190,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def rejected(docs: DataFrame, model: Model, reject: bool = False) -> DataFrame:
-    """The rows of ``docs`` whose text the model doesn't reject (or, with ``reject``, those it does), all columns kept."""
+    """The rows of ``docs`` whose text the model doesn't reject (or, with ``reject``, those it does), all columns kept.
+
+    Null and empty texts score the bias alone, repeated rows are judged alike and all stay or go; rows are never joined, so
+    null ids and columns of any name are no matter; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):

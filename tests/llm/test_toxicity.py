@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from sylspark.llm import toxicity
 
@@ -67,3 +68,48 @@ def test_degenerate_tables(spark):
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert toxicity.score(empty, toxicity.fit(empty, none)).collect() == []
+
+
+def test_one_text_an_id(spark):
+    """An id that stands thousands of times sends one row to the driver."""
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(3000)] + [(2, "other"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
+    seen = []
+    real = toxicity.train
+    try:
+        toxicity.train = lambda x, *rest: (seen.append(len(x)), real(x, *rest))[1]
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = real
+    assert seen and seen[0] <= 2
+
+
+def test_score_by_hand():
+    m = toxicity.Model(-1.0, {f: 0.5 for f in toxicity.features_of("vilest")[:2]})
+    assert m.score("The VILEST, vilest") == pytest.approx(1 / (1 + np.exp(1.0 - 1.0)))
+    assert m.score("") == pytest.approx(1 / (1 + np.exp(1.0)))
+    assert m.score("word " * 200_000 + "vilest") == pytest.approx(0.5)
+
+
+def test_fit_is_a_minimum():
+    """The loss written out plainly is no smaller anywhere beside the weights found."""
+    rng = random.Random(6)
+    words = [f"w{chr(97 + k)}q" for k in range(12)] + ["women", "men"]
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(300)]
+    y = np.array([float("waq" in t or ("wbq" in t and rng.random() < 0.7)) for t in texts])
+    swaps = toxicity._swaps(toxicity.IDENTITIES)
+    pairs = [toxicity.counterfactual(t, swaps) for t in texts]
+    x = [toxicity.text_features(t) for t in texts]
+    m = toxicity.train(x, y, [p[0] for p in pairs], [p[1] for p in pairs], 4000, 1.0, 2e-3, 3000)
+
+    def loss(w, b):
+        score = np.array([b + sum(w.get(f, 0) for f in a.tolist()) for a in x])
+        own = np.where(y == 1, 0.25 / y.sum(), 0.25 / (len(y) - y.sum())) + 0.5 / len(y)
+        change = np.array([sum(w.get(f, 0) for f in p.tolist()) - sum(w.get(f, 0) for f in n.tolist()) for n, p in pairs])
+        moved = sum(1 for n, _ in pairs if len(n))
+        return (own * (np.log1p(np.exp(score)) - y * score)).sum() + (change**2).sum() / moved + 1e-3 * sum(v * v for v in w.values())
+
+    at = loss(m.weights, m.bias)
+    for f in list(m.weights)[:12]:
+        for d in (-0.3, 0.3):
+            assert loss({**m.weights, f: m.weights[f] + d}, m.bias) > at - 1e-4
