@@ -3,6 +3,8 @@
 The encoder goes over a text once and keeps, for every position of a window no longer than the longest piece,
 the surviving piece that ends there and a back-pointer to where it begins. Whenever all back-pointer paths from
 the window meet in one boundary, the ids before it are committed and forgotten, so memory doesn't follow the text.
+A word's first character begins no longer piece of the word before, so that all paths meet there: what is committed
+from there to the next word is remembered by the word.
 
 For unigram models the survivor is the piece of the largest summed score. For BPE models, whose merges aren't a
 best sum, it is the only piece that the merges can leave at the end of that prefix: one that forms, with the
@@ -20,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import small_batches, strings
 
 SPACE = "▁"
-CACHE = 1_000_000
+CACHE = 500_000
 
 
 def default_path() -> str:
@@ -42,7 +44,7 @@ class Pieces:
         self._apart: dict[tuple[str, str], bool] = {}
         self._words: dict[str, bytes] = {}
         self._plain: dict[int, str] | None = None
-        self._valid: set[str] | None = None
+        self._starts: dict[str, bool] | None = None
         #: whether pieces never go on past a space, so that every space is a boundary of all paths
         self.cut = all(SPACE not in x.lstrip(SPACE) for x in scores)
 
@@ -83,86 +85,78 @@ class Pieces:
             self._apart[a, b] = found = self.merged(a + b) == [a, b]
         return found
 
-    def _short(self, text: str) -> list[str]:
-        """The pieces of a text that one window holds, for BPE models."""
-        if self._valid is None:
-            self._valid = {x for x in self.scores if len(x) == 1 or self.merged(x) == [x]}
-        valid, apart, longest = self._valid, self._apart, self.longest
-        n = len(text)
-        last: list[str | None] = [""] + [None] * n
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - longest), end):
-                before = last[begin]
-                if before is None:
-                    continue
-                x = text[begin:end]
-                if x not in valid and end - begin > 1:
-                    continue
-                if before:
-                    ok = apart.get((before, x))
-                    if ok is None:
-                        ok = self.apart(before, x)
-                    if not ok:
-                        continue
-                last[end] = x
-                break
-        out, at = [], n
-        while at:
-            out.append(last[at])
-            at -= len(out[-1])
-        return out[::-1]
-
     def stream(self, text: str):
-        """Pieces of normalised ``text``, committed as soon as all surviving paths agree on them."""
-        scores, longest = self.scores, self.longest
+        """Pieces of normalised ``text``, committed as soon as all surviving paths go through one boundary.
+
+        ``open_`` has the boundaries in the window from which the characters since could begin a piece that is longer;
+        only paths through these, or through the last boundary, survive. The window is no longer than the longest piece.
+        """
+        if self._starts is None:
+            alone = {x for x in self.scores if self.kind == "unigram" or len(x) == 1 or self.merged(x) == [x]}
+            self._starts = {x[:k]: False for x in self.scores for k in range(1, len(x))} | {x: x in alone for x in self.scores}
+        starts, apart, scores, bpe, most = self._starts, self._apart, self.scores, self.kind == "bpe", 2 * self.longest
         start = 0  # everything before is committed
-        last: dict[int, tuple[str | None, float]] = {0: (None, 0.0)}  # position: surviving piece that ends there, score
+        last: list[str | None] = [""]  # from start on: the surviving piece that ends at a position
+        sums = [0.0]
+        open_: list[int] = []
         for end in range(1, len(text) + 1):
-            chosen = None
-            for begin in range(max(start, end - longest), end):
-                before = last.get(begin)
-                if before is None:
+            if last[-1] is not None:
+                open_.append(end - 1)
+            live, chosen, total = [], None, 0.0
+            for b in open_:
+                x = text[b:end]
+                whole = starts.get(x)
+                if whole is None:
                     continue
-                x = text[begin:end]
-                found = scores.get(x)
-                if found is None and end - begin > 1:
+                live.append(b)
+                if not whole or bpe and chosen is not None:
                     continue
-                score = before[1] + (found[1] if found else -1e4)
-                if self.kind == "unigram":
-                    if chosen is None or score > chosen[1]:
-                        chosen = (x, score)
-                elif (before[0] is None or self.apart(before[0], x)) and (end - begin == 1 or self._alone(x)):
-                    chosen = (x, score)
-                    break
-            if chosen:
-                last[end] = chosen
-            # boundaries in reach of a piece that ends later, and where their paths meet
-            if end - start >= 2 * longest or end == len(text):
-                live = [end] if end == len(text) else [k for k in range(end - longest + 1, end + 1) if k in last]
-                low = min(live)
-                paths = set(live)
-                while len(paths) > 1 and low > start:
-                    top = max(paths)
-                    paths.remove(top)
-                    paths.add(top - len(last[top][0]))
-                    low = min(paths)
-                meet = paths.pop() if len(paths) == 1 else start
+                if bpe:
+                    before = last[b - start]
+                    if before:
+                        ok = apart.get((before, x))
+                        if not (self.apart(before, x) if ok is None else ok):
+                            continue
+                    chosen = x
+                else:
+                    score = sums[b - start] + scores[x][1]
+                    if chosen is None or score > total:
+                        chosen, total = x, score
+            if chosen is None and last[-1] is not None:  # a character that no piece has alone
+                before = last[-1]
+                if not (bpe and before and live) or self.apart(before, text[end - 1]):
+                    chosen, total = text[end - 1], (0.0 if bpe else sums[-1]) - 1e4
+                    if not live:
+                        live = [end - 1]
+            last.append(chosen)
+            if not bpe:
+                sums.append(total)
+            open_ = live
+            if open_ and open_[0] > start and (len(open_) == 1 or end - start > most):
+                meet = open_[0] if len(open_) == 1 else self._meet(last, start, open_)
                 if meet > start:
-                    out, at = [], meet
-                    while at > start:
-                        out.append(last[at][0])
-                        at -= len(out[-1])
-                    yield from reversed(out)
-                    last = {k: v for k, v in last.items() if k >= meet}
-                    start = meet
-        return
-
-    def _alone(self, x: str) -> bool:
-        """Whether merging its characters gives the piece itself."""
-        found = self._apart.get(("", x))
-        if found is None:
-            self._apart["", x] = found = self.merged(x) == [x]
-        return found
+                    yield from self._back(last, start, meet)
+                    last, sums, start = last[meet - start :], sums[meet - start :], meet
+        if text:
+            yield from self._back(last, start, len(text))
+
+    @staticmethod
+    def _back(last: list[str | None], start: int, at: int) -> list[str]:
+        out = []
+        while at > start:
+            out.append(last[at - start])
+            at -= len(out[-1])
+        return out[::-1]
+
+    @staticmethod
+    def _meet(last: list[str | None], start: int, live: list[int]) -> int:
+        """The last boundary that the paths to all of ``live`` go through."""
+        paths = set(live)
+        while len(paths) > 1:
+            top = max(paths)
+            paths.remove(top)
+            paths.add(top - len(last[top - start]))
+        return paths.pop()
 
     def _ids(self, pieces) -> bytes:
         out = array("I")
@@ -191,8 +185,7 @@ class Pieces:
         for w in text.split(" "):
             found = words.get(w)
             if found is None:
-                short = self.kind == "bpe" and len(w) < 2 * self.longest
-                words[w] = found = self._ids(self._short(SPACE + w) if short else self.stream(SPACE + w))
+                words[w] = found = self._ids(self.stream(SPACE + w))
             out.append(found)
         return b"".join(out)
 
@@ -261,6 +254,7 @@ def encode(docs: DataFrame, path: str | None = None, with_ids: bool = True, chec
                 out.append(pa.array([model.decode(array("I", d)) == x for d, x in zip(data, texts)], pa.bool_()))
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_ids", "ids_crc32"] + ["ids"] * with_ids + ["restored"] * check)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long" + ", ids array<int>" * with_ids + ", restored boolean" * check)
 
 
