@@ -13,13 +13,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import small_batches, strings
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
-#: A run that could be a key: long enough, and both letters and digits in it.
+#: A run that could be a key: long enough, and both letters and digits in it, or letters of changing case.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 #: What can be a value in a candidate: ``=`` is in it only as padding at the end.
 PART = re.compile(r"[A-Za-z0-9+/_.-]+(?:=+(?![A-Za-z0-9+/_=.-]))?")
@@ -75,6 +75,12 @@ def _like(x: str) -> tuple[str, ...]:
     return _random(next((a for a in ALPHABETS if own <= set(a)), ALPHABETS[-1]), len(x))
 
 
+def _mixed(x: str) -> bool:
+    """Whether letters change case as often as in random text, and not only for the first of a word."""
+    upper = [c.isupper() for c in x if c.isalpha()]
+    return sum(a != b for a, b in zip(upper, upper[1:])) >= 0.3 * len(x) and any(a and b for a, b in zip(upper, upper[1:])) and len(upper) >= 16
+
+
 def is_novel(candidate: str, context: str, identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> bool:
     """Whether a candidate costs what random text does: ``novelty`` of its length, or of what random text of its alphabet and length costs here.
 
@@ -97,7 +103,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], identifiers: str =
 
     def novel(start: int, end: int) -> bool:
         x = text[start:end]
-        if end - start < 16 or not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x)):
+        if end - start < 16 or not (any(c.isdigit() for c in x) and any(c.isalpha() for c in x) or _mixed(x)):
             return False
         if any(s < end and start < e for s, e, _ in taken) or not SENSITIVE.search(text, max(0, start - BEFORE), start):
             return False
@@ -155,11 +161,17 @@ def scan(docs: DataFrame, identifiers: str = IDENTIFIERS, novelty: float = NOVEL
                 ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", identifiers: str = IDENTIFIERS, novelty: float = NOVELTY) -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars`` set anew where a text changed; all rows and columns stay."""
+    """``docs`` with every secret in ``text`` replaced by ``mark`` and ``n_chars`` set anew where a text changed; all rows and columns stay.
+
+    Null texts stay null, empty ones empty; repeated rows are rows of their own; of other columns only ``n_chars`` is
+    touched, and only where the text changed; an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
     names = docs.columns
 
     def run(batches):

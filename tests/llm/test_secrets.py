@@ -81,3 +81,16 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_random_keys_of_any_length():
+    rng = random.Random(8)
+    for alphabet in (string.ascii_letters + string.digits, string.ascii_letters, string.digits + "ABCDEF", string.ascii_letters + string.digits + "+/"):
+        for length in (16, 24, 40, 200, 800, 2000):
+            found = sum(any(s[2] == "novel" for s in secrets.spans(f"Some words. Authorization: Bearer {''.join(rng.choices(alphabet, k=length))} and more")) for _ in range(20))
+            assert found >= 16, (alphabet, length, found)
+
+
+def test_identifiers_of_letters_are_no_keys():
+    for plain in ("requestResponseSession", "internationalization", "authorisationsverfahren", "Unternehmensgeschichte", "SecretAccessTokenValue"):
+        assert secrets.spans(f"the bearer is {plain} here") == [], plain
