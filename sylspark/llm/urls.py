@@ -15,8 +15,8 @@ from .common import materialise
 
 #: (verdict, host and path). The longest rule that fits wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Segments of a template; what follows is part of the last one.
-DEPTH = 4
+#: Segments of a template; what follows is part of the last one. Levels that no path has cost nothing.
+DEPTH = 32
 #: Distinct children from which a parent's children are one wildcard.
 CHILDREN = 64
 #: Labelled URLs that the parent's rate counts as, in a node's rate.
@@ -44,17 +44,21 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return best if best is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def shape(path: Column) -> Column:
-    """Segments of a path with digits, hashes and dates as wildcards; at most ``DEPTH``, the last with the rest."""
+def shape(path: Column, depth: int = 4) -> Column:
+    """Segments of a path with digits, hashes and dates as wildcards; at most ``depth``, the last with the rest."""
     x = F.regexp_replace(path, r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "{date}")
     x = F.regexp_replace(x, r"\b(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{8,}\b", "{hex}")
     x = F.regexp_replace(x, r"[0-9]+", "{n}")
-    return F.split(F.regexp_replace(x, "^/", ""), "/", DEPTH)
+    return F.split(F.regexp_replace(x, "^/", ""), "/", depth)
+
+
+def _depth(tree: DataFrame) -> int:
+    return tree.agg(F.max(F.size("t"))).first()[0] or 0
 
 
 def _generalise(tree: DataFrame, children: int) -> DataFrame:
     """``tree(host, shape, t, n, good, bad)``: children of crowded parents become one wildcard, level by level."""
-    for k in range(DEPTH):
+    for k in range(_depth(tree)):
         head = F.slice("t", 1, k)
         at = tree.where(F.size("t") > k).select("host", head.alias("head"), F.get("t", F.lit(k)).alias("x")).distinct()
         crowded = at.groupBy("host", "head").agg(F.count("*").alias("c")).where(F.col("c") > children).drop("c").withColumn("wide", F.lit(True))
@@ -66,10 +70,12 @@ def _generalise(tree: DataFrame, children: int) -> DataFrame:
 
 def _merge(tree: DataFrame) -> DataFrame:
     """Siblings whose subtrees have the same form and whose labels are of the same class become one branch, from the leaves up."""
-    for k in reversed(range(DEPTH)):
+    for k in reversed(range(_depth(tree))):
         own = tree.where(F.size("t") > k)
-        node = own.groupBy("host", F.slice("t", 1, k).alias("head"), F.get("t", F.lit(k)).alias("x")).agg(
-            F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.bit_xor(F.xxhash64(F.slice("t", k + 2, DEPTH))).alias("form")
+        # shapes that are one template count once in the form of what is below
+        each = own.groupBy("host", F.slice("t", 1, k).alias("head"), F.get("t", F.lit(k)).alias("x"), F.slice("t", k + 2, DEPTH).alias("rest")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+        node = each.groupBy("host", "head", "x").agg(
+            F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.bit_xor(F.xxhash64("rest")).alias("form")
         )
         n = F.col("good") + F.col("bad")
         rate, margin = (F.col("bad") + 1) / (n + 2), F.sqrt(0.25 / (n + 2))
@@ -88,7 +94,7 @@ def templates(pages: DataFrame, rules=RULES, children: int = CHILDREN, strength:
     host, path = parts(F.col("url"))
     given = pages.select(host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.col("r.verdict")
-    counted = given.groupBy("host", shape(F.col("path")).alias("shape")).agg(
+    counted = given.groupBy("host", shape(F.col("path"), DEPTH).alias("shape")).agg(
         F.count("*").alias("n"), F.coalesce(F.sum((verdict == "allow").cast("long")), F.lit(0)).alias("good"), F.coalesce(F.sum((verdict == "block").cast("long")), F.lit(0)).alias("bad")
     )
     counted = materialise(counted.withColumn("t", F.col("shape")).select("host", "shape", "t", "n", "good", "bad"), "paths")
@@ -112,7 +118,7 @@ def judge(pages: DataFrame, rules=RULES, children: int = CHILDREN, strength: flo
     """
     host, path = parts(F.col("url"))
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    given = given.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path")))
+    given = given.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", shape(F.col("path"), DEPTH))
     given = given.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)))
     known = templates(pages, rules, children, strength).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     met = given.join(known, ["host", "shape", "salt"], "left")

@@ -60,3 +60,17 @@ def test_empty_and_repeated(spark):
 def test_shape(spark):
     one = spark.range(1).select(urls.shape(F.lit("/a/2020-01-02/0a1b2c3d4e/77.html/tail/more")).alias("s")).first().s
     assert one == ["a", "{date}", "{hex}", "{n}.html/tail/more"]
+
+
+def test_long_and_deep_paths(spark):
+    rows = ["http://h.com/" + "/".join(f"s{k}" for k in range(300)), "http://h.com/" + "x" * 100_000, "http://h.com/" + "/".join("abcdefgh"[k] for k in range(8))]
+    got = run(spark, list(enumerate(rows)))
+    assert {k: r.path for k, r in got.items()} == {k: u[len("http://h.com") :] for k, u in enumerate(rows)}
+
+
+def test_subtrees_that_differ_stay_apart(spark):
+    """Two shapes that became one template don't cancel each other."""
+    words = ["".join("abcdefghij"[int(c)] for c in f"{k:03d}") for k in range(10)]
+    rows = [f"http://h.com/left/{w}" for w in words] + ["http://h.com/right"] * 3
+    got = run(spark, list(enumerate(rows)), children=4)
+    assert len({r.template for r in got.values()}) == 2
