@@ -168,7 +168,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, index: Index | None
     kinds = "region int, kind int, id long, v binary, codes binary"
 
     def search(batches):
-        now, rows, codes, ids, held = None, [], [], [], []
+        now, rows, codes, ids, held, ix = None, [], [], [], [], shared.value
         x = order = None
 
         def ready():
@@ -191,11 +191,14 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, index: Index | None
                     hit[r, at[uniq[at] == own]] = True
                 y = matrix([h[1] for h in held])
                 s = y @ x.T
+                longest = np.sqrt((x**2).sum(1).max())
                 s[~hit[:, inverse]] = -np.inf
-                keep = min(4 * (k + 2), s.shape[1])  # a vector can come once a table
-                top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                keep = min(ix.tables * (k + 1), s.shape[1])  # a vector can come once a table
+                least = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
                 for r, (q, _, _) in enumerate(held):
-                    found = top[r][np.isfinite(s[r, top[r]])]
+                    # all that tie with the last one kept, products being rounded
+                    near = least[r] - 1e-9 * np.sqrt((y[r] ** 2).sum()) * longest if np.isfinite(least[r]) else least[r]
+                    found = np.flatnonzero(np.isfinite(s[r]) & (s[r] >= near))
                     exact = (x[found] * y[r]).sum(1)
                     best: dict[int, float] = {}
                     for i, e in zip(ids[found].tolist(), exact.tolist()):

@@ -132,3 +132,15 @@ def test_near_duplicates_of_odd_tables(spark):
     v = [1.0, 2.0]
     got = neardup.near_duplicates(table(spark, [(1, v, 0), (1, v, 0), (None, v, 0), (2, v, None), (4, [2.0, 4.0], 0)])).collect()
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == sorted([(1, 2, 1), (1, 2, 1), (None, 0, None), (2, 0, 2), (4, 2, 1)], key=str)
+
+
+def test_ties_go_to_smaller_ids(spark):
+    rows = [(i, [1.0] + [1.0 if i and j == i else 0.0 for j in range(1, 300)], 0) for i in range(287)]
+    got = sorted((r.rank, r.vec_id) for r in neighbours.nearest(table(spark, rows)).collect() if r.query_id == 0)
+    assert got == [(k, k) for k in range(1, 21)]
+
+
+def test_all_candidates_if_fewer(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(8).tolist(), 0) for i in range(15)]
+    assert sorted(r.vec_id for r in neighbours.nearest(table(spark, rows)).collect()) == list(range(1, 15))
