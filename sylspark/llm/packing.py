@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import chunks, encoder
-from .common import materialise, strings
+from .common import materialise, small_batches, strings
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that one window group ranks.
@@ -111,6 +111,7 @@ def pieces(docs: DataFrame, seq_len: int = 1024, tokenizer: str | None = None, e
             names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
 
 
@@ -126,7 +127,7 @@ def pack(found: DataFrame, seq_len: int = 1024) -> DataFrame:
         raise ValueError(f"a piece is longer than {seq_len}")
     table = segments(plan(histogram, seq_len))
     buckets = max(1, -(-max(histogram.values(), default=0) // RANK_ROWS))
-    given = found.withColumn("_h", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    given = found.withColumn("_h", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
     first = given.groupBy("length", "_h").count().select("length", "_h", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     order = Window.partitionBy("length", "_h").orderBy("doc_id", "piece", "start", "ids_crc32")

@@ -31,3 +31,15 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_odd_rows_in_every_stage(spark, sf_dir):
+    long = " ".join(f"v{k}" for k in range(30_000))
+    rows = [(1, None, "en", "a", 0), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (3, long, "en", "a", len(long)), (4, "token = q8Zr3vT9xLk2Wm7Yb4Nc6Ph1", None, None, None), (None, "no id here at all", "en", "a", 17), (5, "no id here at all", "en", "a", 17), (5, "no id here at all", "en", "a", 17)]
+    docs = spark.createDataFrame([(*r, "own", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept_id string, _n int")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        if k < 3:
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert sorted(str(r.doc_id) for r in out.select("doc_id").distinct().collect()) == ["1", "2", "3", "4", "5", *(["None"] if k != 1 else [])], name
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
