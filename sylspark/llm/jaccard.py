@@ -33,7 +33,7 @@ BROADCAST_GROUPS = 4_000_000
 #: Sets of one component that are compared with one another in one task.
 BLOCK = 1024
 #: Shingles of these sets.
-HEAVY = 2_000_000
+HEAVY = 8_000_000
 #: Distinct words whose hashes a worker keeps.
 WORDS = 200_000
 #: Rows of a batch that are worked on at once.
@@ -351,10 +351,13 @@ def _linked(digests: list[bytes], copies: np.ndarray, side: np.ndarray, sets: li
     """(digest, linked copies, root) of the sets of one block, or of pairs across two blocks."""
     m = len(sets)
     n = np.array([len(s) for s in sets], np.int64)
-    token, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(m), n)
-    order = np.argsort(column, kind="stable")
-    row, length = row[order], np.bincount(column, minlength=len(token))
+    token = np.concatenate(sets)
+    row = np.repeat(np.arange(m, dtype=np.int32), n)
+    order = np.argsort(token, kind="stable")
+    token, row = token[order], row[order]
+    del order
+    length = np.diff(np.append(_runs(token), len(token)))
+    del token
     start = np.cumsum(length) - length
     both = np.zeros(m * m, np.int64)
     few = min(12, m)
