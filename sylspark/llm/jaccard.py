@@ -4,7 +4,7 @@ Documents with the same shingle set are one representative. Representatives are
 similar ones by a min-hash of their rarest shingles. The matrix of shingles against groups (the union of the
 members' prefix shingles) gives, for every pair of groups, a bound on what any two of their members can share;
 only pairs of groups that qualify are opened, and opened groups are compared exactly. Nothing is approximate:
-the prefix is long enough that two similar sets must meet ``MEET`` times in it, whatever the order of shingles, and
+the prefix is long enough that two similar sets must meet in it as often as the bound says, whatever the order, and
 the order (shingles that are frequent in the whole corpus last) only decides how few pairs of groups meet by chance.
 """
 
@@ -24,8 +24,6 @@ U64 = np.uint64
 LOCAL, FLUSH, FREQUENT = 4, 3_000_000, 1 << 19
 #: Postings gathered before a task hands them on.
 POSTINGS = 500_000
-#: Prefix shingles that similar sets must share (all that they share, if it is fewer): prefixes are longer by as many, and pairs that meet by chance are fewer.
-MEET = 4
 #: Postings of one bucket, on average; a task holds one bucket at a time.
 BUCKET = 250_000
 #: Opened groups up to this number are broadcast to thin out the sets that are shipped; beyond, the join alone does it.
@@ -109,7 +107,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold ``MEET``, and the set's group.
+    """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold one, and the set's group.
 
     A group is a min-hash of the prefix's infrequent shingles, and a class of sizes, so that its members are alike
     and the bounds over it are tight. Which group a set is in decides nothing but the cost.
@@ -122,7 +120,7 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den:
         often = np.where(tokens[at] == s, counts[at], 0)
         order = np.argsort(often, kind="stable")
         s, rare = s[order], int((often == 0).sum())
-    front = s[: p + MEET - 1]
+    front = s[:p]
     least = mix64(front[: min(p, rare) or p] ^ U64(0x5851F42D4C957F2D)).min()
     return front, int(mix64(np.array([least ^ U64(int(np.log(len(s)) / np.log(1.25)) << 1)], U64))[0])
 
@@ -131,8 +129,8 @@ def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den:
 POSTING = np.dtype([("token", "<u8"), ("group", "<u8"), ("size", "<u2"), ("place", "<u2")])
 #: A cell of the matrix: a shingle and a group, the sizes of the members that hold it, and its least place in them.
 CELL = np.dtype([("token", "<u8"), ("group", "<u8"), ("lo", "<u2"), ("hi", "<u2"), ("place", "<u2")])
-#: Two groups, the shingles that they share early enough in both, and the least of the sizes of members that do.
-PAIR = np.dtype([("g", "<u8"), ("h", "<u8"), ("c", "<u2"), ("glo", "<u2"), ("hlo", "<u2")])
+#: Two groups, the prefix shingles that they share, their sizes, and whether one is early enough in both.
+PAIR = np.dtype([("g", "<u8"), ("h", "<u8"), ("c", "<u2"), ("glo", "<u2"), ("ghi", "<u2"), ("hlo", "<u2"), ("hhi", "<u2"), ("early", "u1")])
 MOST = 65535
 
 
@@ -162,7 +160,7 @@ def _cells(x: np.ndarray) -> np.ndarray:
 
 
 def _shared(x: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cells that can meet another of their shingle early enough, and for each the least hash of its shingle's groups."""
+    """The cells that can meet another of their shingle, and for each the least hash of its shingle's groups."""
     for _ in range(2):  # the second time without what went
         at = _runs(x["token"])
         length = np.diff(np.append(at, len(x)))
@@ -171,7 +169,7 @@ def _shared(x: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
         lo, hi = x["lo"].astype(float), _high(x["hi"])
         least = np.repeat(np.minimum.reduceat(lo, at), length)
         with np.errstate(invalid="ignore"):
-            late = x["place"] > hi - t / (1 + t) * (hi + np.maximum(least, t * lo)) + MEET - 1 + 1e-6
+            late = x["place"] > hi - t * np.maximum(hi, least) + 1e-6
         x = x[(np.repeat(length, length) > 1) & ~late]
     if not len(x):
         return x, np.empty(0, U64)
@@ -190,13 +188,17 @@ def _merged_pairs(x: np.ndarray) -> np.ndarray:
         out["c"] = np.minimum(np.add.reduceat(x["c"].astype(np.int64), at), MOST)
         for k in ("glo", "hlo"):
             out[k] = np.minimum.reduceat(x[k], at)
+        for k in ("ghi", "hhi", "early"):
+            out[k] = np.maximum.reduceat(x[k], at)
     return out
 
 
 def _met(x: np.ndarray, t: float):
-    """Pairs of groups that share a token of merged postings early enough in both, where sizes allow for similar members; in parts.
+    """Pairs of groups that share a token of merged postings, where sizes allow for similar members; in parts.
 
-    Similar sets share T = t / (1 + t) * (sizes) at least, so MEET of the first size - T + MEET of either.
+    Similar sets of sizes a and b share T = t / (1 + t) * (a + b) at least. What they share beyond the place a - t * max(a, b)
+    of the one or b - t * max(a, b) of the other is less than t * max(a, b), so places beyond aren't counted; and one
+    that they share is among the first size - T + 1 of either: it is early.
     """
     at = _runs(x["token"])
     length = np.diff(np.append(at, len(x)))
@@ -210,20 +212,32 @@ def _met(x: np.ndarray, t: float):
                 b = x[(own[:, None] + np.arange(i + 1, r)[None, :]).ravel()]
                 alo, ahi, blo, bhi = a["lo"].astype(float), _high(a["hi"]), b["lo"].astype(float), _high(b["hi"])
                 with np.errstate(invalid="ignore"):
-                    late = (a["place"] > ahi - t / (1 + t) * (ahi + blo) + MEET - 1 + 1e-6) | (b["place"] > bhi - t / (1 + t) * (bhi + alo) + MEET - 1 + 1e-6)
-                fit = (ahi >= t * blo) & (bhi >= t * alo) & ~late
-                a, b = a[fit], b[fit]
+                    late = (a["place"] > ahi - t * np.maximum(ahi, blo) + 1e-6) | (b["place"] > bhi - t * np.maximum(bhi, alo) + 1e-6)
+                    fit = (ahi >= t * blo) & (bhi >= t * alo) & ~late
+                    a, b, alo, ahi, blo, bhi = (v[fit] for v in (a, b, alo, ahi, blo, bhi))
+                    early = ~((a["place"] > ahi - t / (1 + t) * (ahi + blo) + 1e-6) | (b["place"] > bhi - t / (1 + t) * (bhi + alo) + 1e-6))
                 out = np.empty(len(a), PAIR)
-                out["g"], out["h"], out["c"] = a["group"], b["group"], 1
-                out["glo"], out["hlo"] = a["lo"], b["lo"]
+                out["g"], out["h"], out["c"], out["early"] = a["group"], b["group"], 1, early
+                out["glo"], out["ghi"], out["hlo"], out["hhi"] = a["lo"], a["hi"], b["lo"], b["hi"]
                 if len(out):
                     yield out
 
 
 def qualifies(x: np.ndarray, t: float) -> np.ndarray:
-    """Whether some members of the two groups could be similar, by the early shingles that they share and their sizes."""
-    share = np.ceil(t / (1 + t) * (x["glo"].astype(float) + x["hlo"]) - 1e-6)
-    return x["c"] >= np.minimum(MEET, share)
+    """Whether some members of the two groups could be similar, by their common prefix shingles and sizes.
+
+    Sets of sizes a >= b that are similar share t / (1 + t) * (a + b); outside the common prefix they can share
+    less than t * a. The least that this leaves for the common prefix, over the sizes in the groups, is needed.
+    """
+    least = np.full(len(x), np.inf)
+    for glo, ghi, hlo, hhi in (("glo", "ghi", "hlo", "hhi"), ("hlo", "hhi", "glo", "ghi")):
+        a = np.minimum(_high(x[ghi]), _high(x[hhi]) / t)
+        b = np.maximum(x[hlo].astype(float), t * a)
+        with np.errstate(invalid="ignore"):
+            need = np.where(np.isfinite(a), t / (1 + t) * (a + b) - t * a, 0)
+        can = (a >= x[glo]) & (b <= a) & (b <= _high(x[hhi]))
+        least = np.where(can, np.minimum(least, need), least)
+    return (x["early"] > 0) & (x["c"] + 1e-6 >= least)
 
 
 def _blobs(x: np.ndarray, bucket: np.ndarray, kind: int):
@@ -317,7 +331,7 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
             if several:
                 g = np.concatenate(several)["group"]
                 x = np.zeros(len(g), PAIR)
-                x["g"], x["h"], x["c"] = g, g, MEET
+                x["g"], x["h"], x["c"], x["ghi"], x["hhi"], x["early"] = g, g, MOST, MOST, MOST, 1
                 yield _blobs(*pairs_of([x]), 0)
             if held:
                 pairs, n = [], 0
