@@ -16,20 +16,21 @@ _HUNDREDS = dict(zip(range(1, 10), "kikumi bibiri bisatu bina bitaano lukaaga lu
 _THOUSANDS = dict(zip(range(1, 10), ["lukumi", "nkumi bbiri", "nkumi ssatu", "nkumi nnya", "nkumi ttaano", "kakaaga", "kasanvu", "kanaana", "kenda"]))
 #: Value, one of it, several of it.
 _UNITS = [(10**21, "kasedde kamu", "busedde"), (10**18, "kafukunya kamu", "bufukunya"), (10**12, "kawumbi kamu", "buwumbi"), (10**6, "kakadde kamu", "bukadde"), (10**5, "kasiriivu kamu", "busiriivu"), (10**4, "mutwalo gumu", "mitwalo")]
-#: One to five by noun class prefix.
-AGREEMENT = {k: [p + s for s in ("mu", "biri", "satu", "na", "taano")] for k, p in {1: "o", 2: "ba", 3: "gu", 4: "e", 5: "li", 6: "a", 7: "ki", 8: "bi", 9: "e", 11: "lu", 12: "ka", 13: "tu", 14: "bu"}.items()}
+#: Forms that agree, by noun class and number; numbers without one keep their own word.
+AGREEMENT = {
+    k: dict(zip((1, 2, 3, 4, 5, 10), forms.split()))
+    for k, forms in {1: "omu babiri basatu bana bataano abakumi", 2: "gumu ebiri esatu ena etaano egikumi", 3: "limu abiri asatu ana ataano agakumi", 4: "kimu bibiri bisatu bina bitaano ebikumi", 5: "kamu bubiri busatu buna butaano obukumi", 6: "kumu", 7: "lumu"}.items()
+}
 
 
 def number_words(n: int, noun_class: int | None = None) -> str:
-    """Words of an integer; the last one to five agree with ``noun_class``."""
+    """Words of an integer; its last number up to ten agrees with ``noun_class``, and counts of ten thousands and more with their unit's class."""
     if n < 0:
         return "minus " + number_words(-n, noun_class)
     if n == 0:
         return "zeero"
-    if noun_class in AGREEMENT and n <= 5:
-        return AGREEMENT[noun_class][n - 1]
     if n <= 10:
-        return ONES[n]
+        return AGREEMENT.get(noun_class, {}).get(n, ONES[n])
     if n == 11:
         return "kkumi n'emu"
     if n < 20:
@@ -45,11 +46,11 @@ def number_words(n: int, noun_class: int | None = None) -> str:
     else:
         value, one, several = next(u for u in _UNITS if n >= u[0])
         k, rest = divmod(n, value)
-        head = one if k == 1 else f"{several} {number_words(k)}"
+        head = one if k == 1 else f"{several} {number_words(k, 2 if value == 10**4 else 5)}"
     return f"{head} mu {number_words(rest, noun_class)}" if rest else head
 
 
-_VALUES = {w: k for k, w in enumerate(ONES) if w} | {w: v for v, w in _TENS.items()} | {w: 100 * k for k, w in _HUNDREDS.items()} | {w: 1000 * k for k, w in _THOUSANDS.items() if " " not in w} | {"zeero": 0, "tutaano": 500}
+_VALUES = {w: k for k, w in enumerate(ONES) if w} | {w: v for v, w in _TENS.items()} | {w: 100 * k for k, w in _HUNDREDS.items()} | {w: 1000 * k for k, w in _THOUSANDS.items() if " " not in w} | {"zeero": 0, "tutaano": 500} | {w: n for k in (2, 5) for n, w in AGREEMENT[k].items()}
 _MANY = {several: value for value, _, several in _UNITS} | {"nkumi": 1000, "bikumi": 100}
 _ONE = {one.split()[0]: value for value, one, _ in _UNITS}
 
@@ -166,3 +167,53 @@ def hour_24(hour: Column, part: Column) -> Column:
         .when((part == "ekiro") & hour.between(7, 11), hour - 6)
         .when((part == "ttumbi") & (hour == 6), F.lit(0))
     )
+
+
+CURRENCIES = {"UGX": ("Ssiringi", r"(?:UGX|Shs\.?|=/=|=)"), "USD": ("Ddoola", r"\$"), "GBP": ("Pawundi", "£"), "EUR": ("Yuro", "€")}
+
+
+def amounts(text: Column) -> Column:
+    """Array of (currency, amount) of the sums of money in a text, by currency."""
+    out = F.array().cast("array<struct<currency:string,amount:double>>")
+    for code, (_, mark) in CURRENCIES.items():
+        found = F.regexp_extract_all(text, F.lit(mark + r"\s*([\d,]+(?:\.\d{1,2})?)"), 1)
+        out = F.concat(out, F.filter(F.transform(found, lambda x: F.struct(F.lit(code).alias("currency"), F.translate(x, ",", "").try_cast("double").alias("amount"))), lambda r: r["amount"].isNotNull()))
+    return out
+
+
+def money_words(amount: float, currency: str) -> str:
+    """A sum in words; two to five agree, cents follow."""
+    whole = int(amount)
+    cents = round((amount - whole) * 100)
+    count = {2: "zibiri", 3: "zisatu", 4: "zina", 5: "zitaano"}.get(whole) or number_words(whole)
+    return f"{CURRENCIES[currency][0]} {count}" + (f" n'ennusu {number_words(cents)}" if cents > 0 else "")
+
+
+def money_words_column(amount: Column, currency: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(x: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or k not in CURRENCIES else money_words(float(a), k) for a, k in zip(x, c)])
+
+    return run(amount, currency)
+
+
+_SHORT = {m[:3]: k + 1 for k, m in enumerate(R.MONTHS_ENGLISH)} | {"sept": 9} | {m: k + 1 for k, m in enumerate(R.MONTHS_ENGLISH)}
+
+
+def english_dates(text: Column) -> Column:
+    """Array of (day, month, year, format) of dates with an English month's name; the year can be missing."""
+    table = F.create_map(*(F.lit(x) for kv in _SHORT.items() for x in kv))
+    out = F.array().cast("array<struct<day:int,month:int,year:int,format:string>>")
+    for pattern, (d, m, y), name in ((r"\b(\w+)\s+(\d{1,2})(?:st|nd|rd|th)?,?\s*(\d{4})?\b", (2, 1, 3), "mdy"), (r"\b(\d{1,2})(?:st|nd|rd|th)?\s+(\w+)\s*(\d{4})?\b", (1, 2, 3), "dmy")):
+        day, month, year = (F.regexp_extract_all(text, F.lit(pattern), k) for k in (d, m, y))
+        rows = F.transform(F.arrays_zip(day.alias("d"), month.alias("m"), year.alias("y")), lambda r: F.struct(r["d"].cast("int").alias("day"), F.try_element_at(table, F.lower(r["m"])).alias("month"), F.nullif(r["y"], F.lit("")).cast("int").alias("year"), F.lit(name).alias("format")))
+        out = F.concat(out, F.filter(rows, lambda r: r["month"].isNotNull() & r["day"].between(1, 31)))
+    return out
+
+
+def clock_times(text: Column) -> Column:
+    """Array of (hour, minute, part) of local times in digits; the hour is of the 24-hour clock, null where it doesn't go with the part of the day."""
+    parts = "okumakya|ttuntu|olweggulo|akawungeezi|ekiro|ttumbi"
+    pattern = F.lit(rf"\b(\d{{1,2}}):(\d{{2}})(?:\s+(?:ey'|ez'|e')?({parts}))?(?=\s|$|[,.\n])")
+    hour, minute, part = (F.regexp_extract_all(F.lower(text), pattern, k) for k in (1, 2, 3))
+    return F.transform(F.arrays_zip(hour.alias("h"), minute.alias("m"), part.alias("p")), lambda r: F.struct(hour_24(r["h"].cast("int"), r["p"]).cast("int").alias("hour"), r["m"].cast("int").alias("minute"), F.nullif(r["p"], F.lit("")).alias("part")))

@@ -106,9 +106,9 @@ def number_round_trip(spark, d):
     return x.join(F.broadcast(back), "n").select("l_orderkey", "l_linenumber", F.col("m").alias("n"))  # distinct quantities: 50
 
 
-@query(f"WITH a(noun_class, n, form) AS (VALUES {values((c, k + 1, f) for c, fs in N.AGREEMENT.items() for k, f in enumerate(fs))}) SELECT l_orderkey, l_linenumber, form FROM lineitem JOIN a ON a.n = l_linenumber AND a.noun_class = l_suppkey % 8 + 1")
+@query("WITH a(n, noun_class, form) AS (VALUES (1, 1, 'omu'), (1, 2, 'gumu'), (1, 3, 'limu'), (1, 4, 'kimu'), (1, 5, 'kamu'), (1, 6, 'kumu'), (1, 7, 'lumu'), (2, 1, 'babiri'), (2, 2, 'ebiri'), (2, 3, 'abiri'), (2, 4, 'bibiri'), (2, 5, 'bubiri'), (3, 1, 'basatu'), (3, 2, 'esatu'), (3, 3, 'asatu'), (3, 4, 'bisatu'), (3, 5, 'busatu'), (4, 1, 'bana'), (4, 2, 'ena'), (4, 3, 'ana'), (4, 4, 'bina'), (4, 5, 'buna'), (5, 1, 'bataano'), (5, 2, 'etaano'), (5, 3, 'ataano'), (5, 4, 'bitaano'), (5, 5, 'butaano')) SELECT l_orderkey, l_linenumber, form FROM lineitem JOIN a ON a.n = l_linenumber AND a.noun_class = l_suppkey % 8 + 1")
 def agreement_forms(spark, d):
-    a = spark.createDataFrame([(c, k + 1, f) for c, fs in N.AGREEMENT.items() for k, f in enumerate(fs)], "noun_class int, n int, form string")
+    a = spark.createDataFrame([(c, k, f) for c, fs in N.AGREEMENT.items() for k, f in fs.items()], "noun_class int, n int, form string")
     x = table(spark, d, "lineitem").withColumn("noun_class", (F.col("l_suppkey") % 8 + 1).cast("int"))
     return x.join(F.broadcast(a), (F.col("n") == F.col("l_linenumber")) & (x["noun_class"] == a["noun_class"])).select("l_orderkey", "l_linenumber", "form")
 
@@ -181,6 +181,42 @@ def local_hour_24(spark, d):
     return x.withColumn("hour", N.hour_24(F.col("h"), F.col("part")).cast("int"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'UGX' WHEN 1 THEN 'USD' WHEN 2 THEN 'GBP' ELSE 'EUR' END AS currency, CAST(floor(o_totalprice) + floor(o_totalprice * 100) % 100 / 100 AS DOUBLE) AS amount FROM orders")
+def currency_amounts(spark, d):
+    """Sums of money written into texts, with thousands parted, read back."""
+    cents = F.floor(F.col("o_totalprice") * 100) % 100
+    mark = F.element_at(F.array(*(F.lit(x) for x in ("Shs. ", "$", "£ ", "€"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    t = F.concat(F.lit("paid "), mark, F.format_number(F.floor("o_totalprice"), 0), F.lit("."), F.lpad(cents.cast("string"), 2, "0"), F.lit(" in all"))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(N.amounts(t)).alias("x")).select("o_orderkey", "x.*")
+
+
+@query()
+def currency_words(spark, d):
+    """The same sums in words, each distinct one said once."""
+    x = currency_amounts(spark, d)
+    said = x.select("currency", "amount").distinct().withColumn("words", N.money_words_column(F.col("amount"), F.col("currency")))
+    return x.join(said, ["currency", "amount"])
+
+
+@query("SELECT o_orderkey, CAST(day(o_orderdate) AS INTEGER) AS day, CAST(month(o_orderdate) AS INTEGER) AS month, CAST(year(o_orderdate) AS INTEGER) AS year, CASE o_orderkey % 2 WHEN 0 THEN 'mdy' ELSE 'dmy' END AS format FROM orders")
+def english_dates(spark, d):
+    """Dates with months' names, the month or the day first, read back."""
+    month = F.element_at(F.array(*(F.lit(m.capitalize()) for m in R.MONTHS_ENGLISH)), F.month("o_orderdate"))
+    day, year = F.dayofmonth("o_orderdate").cast("string"), F.year("o_orderdate").cast("string")
+    t = F.when(F.col("o_orderkey") % 2 == 0, F.concat(month, F.lit(" "), day, F.lit(", "), year)).otherwise(F.concat(day, F.lit("th "), F.substring(month, 1, 3), F.lit(" "), year))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(N.english_dates(F.concat(F.lit("(on) "), t, F.lit(".")))).alias("x")).select("o_orderkey", "x.*")
+
+
+@query(f"""WITH p(k, part) AS (VALUES {values(enumerate(PARTS))}), x AS (SELECT event_id, CAST(event_id % 12 + 1 AS INTEGER) AS h, CAST(event_id % 60 AS INTEGER) AS minute, part FROM events JOIN p ON p.k = event_id % 6)
+SELECT event_id, part, minute, CAST(CASE WHEN part = 'okumakya' AND (h = 12 OR h <= 5) THEN h % 12 + 6 WHEN part = 'ttuntu' AND h = 6 THEN 12 WHEN part = 'olweggulo' AND h BETWEEN 7 AND 11 THEN h + 6 WHEN part = 'akawungeezi' AND h = 12 THEN 18
+WHEN part = 'ekiro' AND h <= 5 THEN h + 18 WHEN part = 'ekiro' AND h BETWEEN 7 AND 11 THEN h - 6 WHEN part = 'ttumbi' AND h = 6 THEN 0 END AS INTEGER) AS hour FROM x""")
+def clock_times(spark, d):
+    """Local times written into texts, read back on the 24-hour clock."""
+    part = F.element_at(F.array(*(F.lit(p) for p in PARTS)), (F.col("event_id") % 6 + 1).cast("int"))
+    t = F.concat(F.lit("at "), (F.col("event_id") % 12 + 1).cast("string"), F.lit(":"), F.lpad((F.col("event_id") % 60).cast("string"), 2, "0"), F.lit(" ey'"), part, F.lit(", then"))
+    return table(spark, d, "events").select("event_id", F.explode(N.clock_times(t)).alias("x")).select("event_id", "x.part", "x.minute", "x.hour")
+
+
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _HITS = ", ".join(
     "(len(list_filter(w, lambda x: x IN (" + ", ".join(q(x) for x in listed.split()) + f")))" + (f" + len(list_filter(w, lambda x: regexp_matches(x, '^(?:{starts.replace(' ', '|')}).')))" if starts else "") + f")::BIGINT AS {k}" for k, (starts, listed) in R.LANGUAGE_HITS.items()
