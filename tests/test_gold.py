@@ -50,7 +50,7 @@ def test_best_pair_ties(spark):
     assert tuple(G.best_pairs(pairs).first()) == (1, 3, 5)
 
 
-@pytest.mark.parametrize("n,words", [(11, "kkumi n'emu"), (20, "abiri"), (99, "kyenda mu mwenda"), (500, "tutaano"), (1000, "lukumi"), (0, "zeero"), (-3, "minus ssatu"), (2_000_000, "bukadde bbiri")])
+@pytest.mark.parametrize("n,words", [(11, "kkumi n'emu"), (20, "abiri"), (99, "kyenda mu mwenda"), (500, "tutaano"), (1000, "lukumi"), (0, "zeero"), (-3, "minus ssatu"), (2_000_000, "bukadde bubiri")])
 def test_number_words(n, words):
     assert N.number_words(n) == words
 
@@ -204,7 +204,7 @@ def test_basket_components_are_whole(spark, sf_dir):
 
     e = graphs.basket_edges(spark, sf_dir)
     ids = {r[0] for r in e.where("src <> dst").select(F.explode(F.array("src", "dst"))).distinct().collect()}
-    got = {r.node: r.scc for r in graphs.basket_components(spark, sf_dir).collect()}
+    got = {r.node: r.scc for r in graphs.strong_components(spark, sf_dir).collect()}
     assert set(got) == ids and len(ids) > 40
 
 
@@ -221,3 +221,50 @@ def test_register_split_has_both_sides(spark):
     got = {s: sorted(r.doc_id for r in scalars.split_by_register(x, 14).collect() if r.side == s) for s in ("formal", "colloquial")}
     assert got == {"formal": [1, 2, 5], "colloquial": [2, 3, 6]}
     assert {r.doc_id for r in scalars.split_by_register(x).where("side = 'formal'").collect()} == {1, 2, 4, 5} and scalars.TARGET == 500_000
+
+
+def test_component_metrics_of_all_baskets(spark, sf_dir):
+    """Against sums over every edge of the graph and the labels of all its nodes."""
+    from collections import Counter
+
+    from sylspark.plans import graphs
+
+    edges = [(r.src, r.dst) for r in graphs.basket_edges(spark, sf_dir).collect() if r.src != r.dst]
+    label = {r.node: r.scc for r in graphs.strong_components(spark, sf_dir).collect()}
+    rows = graphs.scc_metrics(spark, sf_dir).collect()
+    assert Counter(label.values()) == {r.scc: r.members for r in rows}
+    assert {n for e in edges for n in e} <= set(label)
+
+
+@pytest.mark.parametrize("n, noun_class, words", [(20_000, None, "mitwalo ebiri"), (300_000, None, "busiriivu busatu"), (2_000_000, None, "bukadde bubiri"), (10_000, None, "mutwalo gumu"), (2, 1, "babiri"), (1, 4, "kimu"), (10, 3, "agakumi"), (25, 2, "abiri mu etaano"), (4, 9, "nnya")])
+def test_agreement(n, noun_class, words):
+    assert N.number_words(n, noun_class) == words
+
+
+def test_money(spark):
+    df = spark.createDataFrame([("Shs. 1,234.50 and UGX 70 for $3, £ 4.5 or € 1,000", 1), (None, 2), ("", 3), ("$, only a mark", 4)], "t string, k int")
+    got = {r.k: r.x for r in df.select("k", N.amounts(F.col("t")).alias("x")).collect()}
+    assert [tuple(x) for x in got[1]] == [("UGX", 1234.5), ("UGX", 70.0), ("USD", 3.0), ("GBP", 4.5), ("EUR", 1000.0)]
+    assert not got[2] and got[3] == [] and got[4] == []
+    assert N.money_words(3.25, "USD") == "Ddoola zisatu n'ennusu abiri mu ttaano" and N.money_words(500, "UGX") == "Ssiringi tutaano"
+
+
+def test_english_dates_and_times(spark):
+    df = spark.createDataFrame([("On March 3rd, 1999 or 4 Sept 2001; May 40; 7 sunflowers",), ("",), (None,)], "t string")
+    got = [[tuple(x) for x in r.x or ()] for r in df.select(N.english_dates(F.col("t")).alias("x")).collect()]
+    assert (3, 3, 1999, "mdy") in got[0] and (4, 9, 2001, "dmy") in got[0] and all(1 <= d <= 31 for d, *_ in got[0]) and got[1:] == [[], []]
+    df = spark.createDataFrame([("1:05 okumakya, 6:30 e'ttumbi and 9:15 ttuntu, 10:00",)], "t string")
+    assert [tuple(x) for x in df.select(N.clock_times(F.col("t")).alias("x")).first().x] == [(7, 5, "okumakya"), (0, 30, "ttumbi"), (None, 15, "ttuntu"), (None, 0, None)]
+
+
+def test_counts_by_runs(spark):
+    """Counts of runs give what cutting whole texts gives."""
+    from sylspark.functions import text as T
+    from sylspark.operators import grammar
+
+    rows = [("Webale nnyo, MPA! ggwe-embwa 12",), ("",), (None,), ("a",), ("ŋŋoma é\n\n  nnYa",), ("Webale nnyo, MPA! ggwe-embwa 12",)]
+    df = spark.createDataFrame(rows, "text string")
+    s = df.select(T.syllabify(F.col("text")).alias("s"))
+    want = {tuple(r) for r in grammar.array_pair_counts(s.where("s is not null"), "s").collect()}
+    assert {tuple(r) for r in grammar.text_pair_counts(df).collect()} == want
+    assert {tuple(r) for r in T.syllable_counts(df).collect()} == {tuple(r) for r in s.select(F.explode("s").alias("x")).groupBy("x").count().collect()}
