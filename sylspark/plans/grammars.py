@@ -23,25 +23,25 @@ def _syl(spark, d):
 
 @query(f"WITH {SYL} SELECT syl, count(*) AS freq FROM syl GROUP BY syl")
 def syllable_freq(spark, d):
-    return _syl(spark, d).groupBy("syl").agg(F.count("*").alias("freq"))
+    return T.syllable_counts(table(spark, d, "documents"))
 
 
 @query(f"WITH {SYL} SELECT CAST(length(syl) AS INTEGER) AS len, count(*) AS n, count(DISTINCT syl) AS types FROM syl GROUP BY 1")
 def syllable_len_hist(spark, d):
-    return _syl(spark, d).groupBy(F.char_length("syl").alias("len"), "syl").agg(F.count("*").alias("c")).groupBy("len").agg(F.sum("c").alias("n"), F.count("*").alias("types"))
+    return T.syllable_counts(table(spark, d, "documents")).groupBy(F.char_length("syl").alias("len")).agg(F.sum("freq").alias("n"), F.count("*").alias("types"))
 
 
 @query(f"WITH {SYL} SELECT CASE WHEN NOT regexp_matches(syl, '[aeiou]') THEN 'orphan' WHEN regexp_matches(syl, '^[aeiou]') THEN 'vowel' WHEN regexp_matches(syl, '^[nm]') THEN 'nasal' WHEN regexp_matches(syl, '^.[wy]') THEN 'glide' ELSE 'plain' END AS onset, count(*) AS n FROM syl GROUP BY 1")
 def onset_class_counts(spark, d):
     s = F.col("syl")
     onset = F.when(~s.rlike("[aeiou]"), "orphan").when(s.rlike("^[aeiou]"), "vowel").when(s.rlike("^[nm]"), "nasal").when(s.rlike("(?s)^.[wy]"), "glide").otherwise("plain")
-    return _syl(spark, d).groupBy(onset.alias("onset")).agg(F.count("*").alias("n"))
+    return T.syllable_counts(table(spark, d, "documents")).groupBy(onset.alias("onset")).agg(F.sum("freq").alias("n"))
 
 
 @query(f"WITH {SYL} SELECT syl, CAST(260 + row_number() OVER (ORDER BY syl) AS INTEGER) AS syl_id FROM (SELECT DISTINCT syl FROM syl)")
 def syllable_ids(spark, d):
     """Distinct syllables in byte order, after the reserved ids; the syllabary is bounded by the onsets and code points."""
-    return _syl(spark, d).select("syl").distinct().select("syl", (F.row_number().over(Window.orderBy("syl")) + 260).alias("syl_id"))
+    return T.syllable_counts(table(spark, d, "documents")).select("syl", (F.row_number().over(Window.orderBy("syl")) + 260).alias("syl_id"))
 
 
 SEEDS = [c + v for c in "bcdfghjklmnpqrstvwyz" for v in "aeiou"]
@@ -49,7 +49,7 @@ SEEDS = [c + v for c in "bcdfghjklmnpqrstvwyz" for v in "aeiou"]
 
 @query(f"WITH {SYL}, seed(syl) AS (VALUES {values((s,) for s in SEEDS)}) SELECT syl FROM seed WHERE syl NOT IN (SELECT syl FROM syl)")
 def seed_missing_anti(spark, d):
-    return spark.createDataFrame([(s,) for s in SEEDS], "syl string").join(_syl(spark, d).select("syl").distinct(), "syl", "left_anti")
+    return spark.createDataFrame([(s,) for s in SEEDS], "syl string").join(T.syllable_counts(table(spark, d, "documents")), "syl", "left_anti")
 
 
 @query(f"WITH {SYL}, seed(k) AS (VALUES {values((s,) for s in SEEDS)}) SELECT doc_id, count(*) AS n, sum((k IS NULL)::INT)::BIGINT AS unknown FROM syl LEFT JOIN seed ON syl = k GROUP BY doc_id")
@@ -70,7 +70,7 @@ PAIRS = f"{SYL}, p AS (SELECT syl AS l, lead(syl) OVER (PARTITION BY doc_id ORDE
 
 
 def _pairs(spark, d):
-    return G.array_pair_counts(table(spark, d, "documents").select(T.syllabify(F.col("text")).alias("s")), "s")
+    return G.text_pair_counts(table(spark, d, "documents"))
 
 
 @query(f"WITH {PAIRS} SELECT * FROM c")
@@ -119,7 +119,7 @@ def rule_pruning(spark, d):
 
 @query(f"WITH {PAIRS}, b AS (SELECT l || r AS token, min(0) AS k FROM c WHERE freq >= 500 GROUP BY 1), v AS (SELECT DISTINCT syl AS token, 0 AS kind FROM syl UNION ALL SELECT token, 1 FROM b UNION ALL SELECT p_brand, 2 FROM part) SELECT token, CAST(min(kind) AS INTEGER) AS kind FROM v WHERE token <> '' GROUP BY token")
 def vocab_dedup(spark, d):
-    own = _syl(spark, d).select(F.col("syl").alias("token")).distinct().withColumn("ord", F.lit(0))
+    own = T.syllable_counts(table(spark, d, "documents")).select(F.col("syl").alias("token"), F.lit(0).alias("ord"))
     rules = _pairs(spark, d).where("freq >= 500").select(F.concat("l", "r").alias("token"), F.lit(0).alias("ord"))
     seeds = table(spark, d, "part").select(F.col("p_brand").alias("token"), F.lit(0).alias("ord"))
     return G.vocabulary(own, rules, seeds).select("token", "kind")
@@ -172,7 +172,7 @@ def span_boundary_range_join(spark, d):
 
 def _vocab(spark, d):
     """Syllables, frequent pairs and the dictionary; ids in byte order."""
-    own = _syl(spark, d).select(F.col("syl").alias("token")).distinct().withColumn("ord", F.lit(0))
+    own = T.syllable_counts(table(spark, d, "documents")).select(F.col("syl").alias("token"), F.lit(0).alias("ord"))
     pairs = _pairs(spark, d).where("freq >= 200 and l <> ' ' and r <> ' '").select(F.concat("l", "r").alias("token"), F.lit(0).alias("ord"))
     seeds = truth.table(spark).select(F.col("pattern").alias("token"), F.lit(0).alias("ord"))
     return G.vocabulary(own, pairs, seeds).select("token", F.row_number().over(Window.orderBy("token")).cast("long").alias("token_id"))
