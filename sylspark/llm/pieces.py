@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, strings
 
 SPACE = "▁"
-CACHE = 500_000
+CACHE = 1_000_000
 
 
 def default_path() -> str:
