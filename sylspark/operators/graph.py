@@ -62,6 +62,8 @@ def ngram_prior(e: DataFrame, vocabulary: int | None = None, scale: float = 8.0)
 
 def _written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/sylspark-{spark.sparkContext.applicationId}"
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
