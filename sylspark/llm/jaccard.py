@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, mix64, small_batches, strings
 
 U64 = np.uint64
-#: A shingle is frequent if it comes so often among FLUSH shingles of one task; the FREQUENT most frequent ones are broadcast.
-LOCAL, FLUSH, FREQUENT = 4, 3_000_000, 1 << 19
+#: Shingles are counted in so many buckets by their first bits; counts come by the slice, and a task hands on its own after FLUSH shingles at most.
+BITS, SLICE, FLUSH = 23, 1 << 17, 1_000_000
+#: A shingle is rare if its bucket counts at most so many more than the median bucket does.
+RARE = 16
 #: Postings gathered before a task hands them on.
 POSTINGS = 500_000
 #: Postings of one bucket, on average; a task holds one bucket at a time.
@@ -74,54 +76,74 @@ def _sets(batches, size):
             yield part, [shingles(x, size) for x in strings(part.column(1))]
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most frequent shingles and their counts, sorted by shingle, at most ``FREQUENT`` of them; and how many all sets have together."""
+def shingle_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
+    """How often the shingles of every bucket come, as 8 log2(count + 1); the highest of these that is rare; and how many all sets have together.
+
+    All shingles of all sets are counted. A bucket also counts others of the same first bits, which only moves a shingle later in the order.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = min(SLICE, 1 << BITS)
 
     def run(batches):
-        held, n, total = [], 0, 0
+        counts, held, n, pack = np.zeros(1 << BITS, np.uint32), [], 0, zstandard.ZstdCompressor(level=1)
 
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            own = c >= LOCAL
-            return pa.RecordBatch.from_arrays([pa.array(u[own].view(np.int64)), pa.array(c[own].astype(np.int64))], ["token", "c"])
+        def count():
+            x = np.concatenate(held) >> U64(64 - BITS)
+            x.sort()
+            at = _runs(x)
+            counts[x[at]] += np.diff(np.append(at, len(x))).astype(np.uint32)
 
         for _, sets in _sets(batches, size):
-            for s in sets:
-                held.append(s)
-                n += len(s)
-                total += len(s)
-                if n >= FLUSH:
-                    yield flush()
-                    held, n = [], 0
+            held += sets
+            n += sum(map(len, sets))
+            if n >= FLUSH:
+                count()
+                held, n = [], 0
         if n:
+            count()
+        for k in range(0, 1 << BITS, width):
+            x = counts[k : k + width]
+            if x.any():  # the bytes of one place together, which are zeros but for the lowest
+                yield pa.RecordBatch.from_arrays([pa.array([k // width], pa.int32()), pa.array([pack.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary())], ["slice", "data"])
+
+    def add(batches):
+        unpack, now, held = zstandard.ZstdDecompressor(), None, None
+
+        def flush():
+            code = np.minimum(255, np.rint(8 * np.log2(held + 1.0))).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([code.tobytes()], pa.binary()), pa.array([int(held.sum())], pa.int64())], ["slice", "data", "n"])
+
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != now:
+                    if now is not None:
+                        yield flush()
+                    now, held = k, np.zeros(width, np.int64)
+                held += np.frombuffer(unpack.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel()
+        if now is not None:
             yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["token", "c"])  # comes first below
 
-    counts = docs.mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.col("token").isNotNull(), F.desc("c"), "token").limit(FREQUENT + 1).toArrow()
-    total = top.column("c")[0].as_py() if len(top) else 0
-    top = top.slice(1)
-    tokens, c = top.column("token").to_numpy().view(U64), top.column("c").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], c[order], total
+    counted = docs.mapInArrow(run, "slice int, data binary").repartition(parts, "slice").sortWithinPartitions("slice")
+    codes, total = np.zeros(1 << BITS, np.uint8), 0
+    for r in counted.mapInArrow(add, "slice int, data binary, n long").collect():
+        codes[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.data, np.uint8)
+        total += r.n
+    median = 2 ** (float(np.median(codes)) / 8) - 1
+    return codes, int(8 * np.log2(median + RARE + 1)), total
 
 
-def prefix(s: np.ndarray, tokens: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+def prefix(s: np.ndarray, codes: np.ndarray, rare: int, num: int, den: int) -> tuple[np.ndarray, int]:
     """The first shingles of ``s`` in corpus order, of which any set that is similar enough must hold one, and the set's group.
 
-    A group is a min-hash of the prefix's infrequent shingles, and a class of sizes, so that its members are alike
-    and the bounds over it are tight. Which group a set is in decides nothing but the cost.
+    Corpus order is by the counts of the shingles' buckets, then by hash. A group is a min-hash of the prefix's rare
+    shingles, and a class of sizes, so that its members are alike and the bounds over it are tight. Neither decides
+    anything but the cost.
     """
     p = len(s) - -(-num * len(s) // den) + 1
-    rare = p
-    if len(tokens):
-        at = np.searchsorted(tokens, s)
-        at[at == len(tokens)] = 0
-        often = np.where(tokens[at] == s, counts[at], 0)
-        order = np.argsort(often, kind="stable")
-        s, rare = s[order], int((often == 0).sum())
-    front = s[:p]
-    least = mix64(front[: min(p, rare) or p] ^ U64(0x5851F42D4C957F2D)).min()
+    code = codes[s >> U64(64 - BITS)]
+    front = s[np.argsort(code, kind="stable")[:p]]
+    few = int((code <= rare).sum())
+    least = mix64(front[: min(p, few) or p] ^ U64(0x5851F42D4C957F2D)).min()
     return front, int(mix64(np.array([least ^ U64(int(np.log(len(s)) / np.log(1.25)) << 1)], U64))[0])
 
 
@@ -270,7 +292,7 @@ def _buckets(batches, kinds):
         yield held
 
 
-def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts, total: int) -> DataFrame:
+def opened_groups(docs: DataFrame, size: int, num: int, den: int, codes, rare: int, total: int) -> DataFrame:
     """``(a, b)``: pairs of groups to open; a group with two different sets pairs with itself. ``total``: shingles of all sets."""
     spark = docs.sparkSession
     t = num / den
@@ -293,7 +315,7 @@ def opened_groups(docs: DataFrame, size: int, num: int, den: int, tokens, counts
             for s in sets:
                 if not len(s):
                     continue
-                front, group = prefix(s, tokens.value, counts.value, num, den)
+                front, group = prefix(s, codes.value, rare, num, den)
                 x = np.empty(len(front), POSTING)
                 x["token"], x["group"] = front, group
                 x["size"], x["place"] = min(MOST, len(s)), np.minimum(np.arange(len(front)), MOST)
@@ -450,9 +472,9 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    *found, total = frequent_shingles(docs, size)
-    tokens, counts = (spark.sparkContext.broadcast(x) for x in found)
-    pairs = opened_groups(docs, size, num, den, tokens, counts, total)
+    codes, rare, total = shingle_counts(docs, size)
+    codes = spark.sparkContext.broadcast(codes)
+    pairs = opened_groups(docs, size, num, den, codes, rare, total)
     across = pairs.where("a <> b")
     ids = connected_components(across)
     alone = pairs.where("a = b").select(F.col("a").alias("node")).join(ids, "node", "left_anti")
@@ -470,7 +492,7 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
                     digests.append(None), groups.append(None), data.append(None)
                     continue
                 raw = s.tobytes()
-                g = prefix(s, tokens.value, counts.value, num, den)[1]
+                g = prefix(s, codes.value, rare, num, den)[1]
                 digests.append(xxhash.xxh3_128_digest(raw))
                 groups.append(g - (g >> 63 << 64))
                 o = open_.value
@@ -490,14 +512,21 @@ def similar(docs: DataFrame, size: int = 2, num: int = 60, den: int = 100, detai
     a, b = (nodes.select("component", F.col("node").alias(k), F.col("sets").alias(f"n{k}")) for k in ("a", "b"))
     costs = pairs.join(a, "a").join(b.drop("component"), "b").groupBy("component").agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb"))).alias("cost"))
     blocks = nodes.groupBy("component").agg(F.sum("sets").alias("n"), F.max("sets").alias("widest"), F.max("weight").alias("heaviest"), F.ceil(F.greatest(F.sum("sets") / F.lit(BLOCK), F.sum("weight") / F.lit(HEAVY))).cast("int").alias("many")).where("n > 1")
-    # a large component is compared by pairs of groups where that moves fewer sets than all pairs of its blocks do
-    pairwise = (F.col("many") > 1) & (F.col("widest") <= BLOCK) & (F.col("heaviest") <= HEAVY) & (F.col("cost") < F.col("n") * F.col("many"))
-    blocks = blocks.join(costs, "component").select("component", "many", pairwise.alias("pairwise"))
+    # a large component is cut into blocks of groups with the same least neighbour; of two blocks, the groups that are opened with one of the other are compared
+    narrow = (F.col("many") > 1) & (F.col("widest") <= BLOCK // 2) & (F.col("heaviest") <= HEAVY // 2) & ((F.col("many") > 8) | (F.col("cost") < F.col("n") * F.col("many")))
+    blocks = blocks.join(costs, "component").select("component", "many", narrow.alias("narrow"))
     placed = materialise(keys.join(blocks, "component"), "placed")
-    dense = placed.where("not pairwise").withColumn("b", F.pmod(F.xxhash64("digest"), F.col("many").cast("long"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)))
+    dense = placed.where("not narrow").withColumn("b", F.pmod(F.xxhash64("digest"), F.col("many").cast("long"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many").cast("long") - 1)))
     dense = dense.select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "many", "digest", "copies", "b")
-    sides = pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), F.explode(F.array_distinct(F.array("a", "b"))).alias("node"))
-    sparse = placed.where("pairwise").join(sides, "node").select("component", "i", "j", "many", "digest", "copies", F.col("node").alias("b"))
+    ends = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    ends = nodes.join(blocks.where("narrow").select("component"), "component").join(ends, "node")
+    before = Window.partitionBy("component").orderBy("least", "node").rowsBetween(Window.unboundedPreceding, -1)
+    nth = F.floor(F.coalesce(F.sum("sets").over(before), F.lit(0)) * 2 / BLOCK) + F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) * 2 / HEAVY)
+    ends = materialise(ends.select("component", "node", nth.cast("long").alias("block")), "blocks")
+    a, b = (ends.select(F.col("node").alias(k), F.col("block").alias(f"b{k}")) for k in ("a", "b"))
+    sides = pairs.join(a, "a").join(b, "b").select(F.least("ba", "bb").alias("i"), F.greatest("ba", "bb").alias("j"), F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ba").alias("b")), F.struct(F.col("b").alias("node"), F.col("bb").alias("b")))).alias("x"))
+    sides = sides.select("i", "j", "x.node", "x.b").distinct()
+    sparse = placed.where("narrow").join(sides, "node").select("component", "i", "j", "many", "digest", "copies", "b")
     texts = rows.where("data is not null").groupBy("digest").agg(F.first("data").alias("data"))
     spread = dense.union(sparse).join(texts, "digest").select("component", "i", "j", "many", "digest", "copies", "b", "data")
     compared = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")

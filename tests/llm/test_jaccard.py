@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from sylspark.llm import jaccard
 
 
@@ -85,3 +87,47 @@ def test_one_of_each_keeps_columns_of_any_name(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_shingles_of_all_tasks_are_counted(spark):
+    """A shingle that comes a few times in each task is as frequent as all tasks together have it."""
+    rows = [(k, f"often here only{k}") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(15)
+    codes, rare, total = jaccard.shingle_counts(df, 2)
+    of = lambda text: int(codes[int(jaccard.shingles(text)[0]) >> 64 - jaccard.BITS])
+    assert total == 60 and of("often here") == round(8 * np.log2(31)) > rare >= of("here only7") == 8
+    assert of("of none") == 0
+
+
+def test_chained_clusters_move_as_blocks(spark, monkeypatch):
+    """A large component of clusters that are chained: its texts move by blocks of groups, not for each pair of groups."""
+    rng = random.Random(13)
+    words = [f"c{k}" for k in range(400)]
+    rows = []
+    for k in range(0, 100, 10):  # clusters of nine texts that are similar to one another, each near the next
+        for j in range(9):
+            text = words[3 * k : 3 * k + 60]
+            text[rng.randrange(60)] = f"y{k}{j}"
+            rows.append((100 * k + j, " ".join(text)))
+        rows.append((100 * k + 50, " ".join(words[3 * k + 15 : 3 * k + 75])))
+    moved = spark.sparkContext.accumulator(0)
+    compare = jaccard._compare
+
+    def counted(*how):
+        run = compare(*how)
+
+        def count(batches):
+            def through():
+                for b in batches:
+                    moved.add(b.num_rows)
+                    yield b
+
+            yield from run(through())
+
+        return count
+
+    monkeypatch.setattr(jaccard, "_compare", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    want = brute(rows)
+    assert run(spark, rows) == want
+    assert 100 <= moved.value < 100 * 100 // 12
