@@ -28,6 +28,8 @@ RARE = 16
 POSTINGS = 500_000
 #: Postings of one bucket, on average; a task holds one bucket at a time.
 BUCKET = 250_000
+#: Meetings of a least group's shingles from which products of matrices are tried; groups of a strip.
+DENSE, STRIP = 200_000, 512
 #: Opened groups up to this number are broadcast to thin out the sets that are shipped; beyond, the join alone does it.
 BROADCAST_GROUPS = 4_000_000
 #: Sets of one component that are compared with one another in one task.
@@ -215,15 +217,90 @@ def _merged_pairs(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _met_dense(x: np.ndarray, t: float):
+    """``_met`` of cells where most groups hold most shingles: by blocks of groups of about one size, whose least sizes stand for all."""
+    token = np.unique(x["token"], return_inverse=True)[1]
+    group, own = np.unique(x["group"], return_inverse=True)
+    low, high = np.full(len(group), MOST, np.uint16), np.zeros(len(group), np.uint16)
+    np.minimum.at(low, own, x["lo"])
+    np.maximum.at(high, own, x["hi"])
+    order = np.argsort(low, kind="stable")
+    group, low, high = group[order], low[order], high[order]
+    row = np.empty(len(order), np.int64)
+    row[order] = np.arange(len(order))
+    row = row[own]
+    by = np.argsort(row, kind="stable")
+    x, token, row = x[by], token[by], row[by]
+    place, hi, lows, highs = x["place"].astype(float), _high(x["hi"]), low.astype(float), _high(high)
+    starts = range(0, len(group), STRIP)
+    cuts = np.searchsorted(row, [*starts, len(group)])
+
+    def products(i, j):
+        """Shingles in common, and those that are early in both, of the groups of two strips."""
+        parts = []
+        for one, other in ((i, j), (j, i)):
+            of = slice(cuts[one], cuts[one + 1])
+            least, h = lows[starts[other]], hi[of]
+            with np.errstate(invalid="ignore"):
+                late = place[of] > h - t * np.maximum(h, least) + 1e-6
+                early = ~(late | (place[of] > h - t / (1 + t) * (h + least) + 1e-6))
+            parts.append((row[of] - starts[one], token[of], ~late, early, min(STRIP, len(group) - starts[one])))
+        both, first, width = 0, 0, min(2048, int(token.max()) + 1)
+        for k in range(0, int(token.max()) + 1, width):
+            m = []
+            for rows, tokens, counted, early, n in parts:
+                here = (tokens >= k) & (tokens < k + width)
+                for which in (counted, early):
+                    m.append(np.zeros((n, width), np.float32))
+                    m[-1][rows[here & which], tokens[here & which] - k] = 1
+            both = both + m[0] @ m[2].T
+            first = first + m[1] @ m[3].T
+        return both, first
+
+    for i in range(len(starts)):
+        for j in range(i + 1):
+            a, b = (slice(starts[k], starts[k] + STRIP) for k in (i, j))
+            fit = (highs[a][:, None] >= t * lows[b][None, :]) & (highs[b][None, :] >= t * lows[a][:, None])
+            if i == j:
+                fit = np.tril(fit, -1)
+            if not fit.any():
+                continue
+            both, first = products(i, j)
+            r, c = np.nonzero(fit & (both > 0))
+            out = np.empty(len(r), PAIR)
+            out["c"], out["early"] = np.minimum(both[r, c], MOST), first[r, c] > 0
+            r, c = r + starts[i], c + starts[j]
+            r, c = np.where(group[r] < group[c], r, c), np.where(group[r] < group[c], c, r)  # as in runs sorted by group
+            out["g"], out["h"] = group[r], group[c]
+            out["glo"], out["ghi"], out["hlo"], out["hhi"] = low[r], high[r], low[c], high[c]
+            if len(out):
+                yield out
+
+
 def _met(x: np.ndarray, t: float):
     """Pairs of groups that share a token of merged postings, where sizes allow for similar members; in parts.
 
     Similar sets of sizes a and b share T = t / (1 + t) * (a + b) at least. What they share beyond the place a - t * max(a, b)
     of the one or b - t * max(a, b) of the other is less than t * max(a, b), so places beyond aren't counted; and one
     that they share is among the first size - T + 1 of either: it is early.
+    Shingles of the same least group that many of the same groups hold are counted by products of matrices.
     """
     at = _runs(x["token"])
     length = np.diff(np.append(at, len(x)))
+    if not len(at):
+        return
+    least = np.minimum.reduceat(mix64(x["group"]), at)
+    family, work = np.unique(least, return_inverse=True)[1], length * (length - 1) // 2
+    rest = np.ones(len(at), bool)
+    for k in np.flatnonzero(np.bincount(family, weights=work) >= DENSE):
+        own = family == k
+        part = x[np.repeat(own, length)]
+        if len(np.unique(part["group"])) ** 2 * own.sum() < 500 * work[own].sum():
+            rest &= ~own
+            yield from _met_dense(part, t)
+    x = x[np.repeat(rest, length)]
+    at = _runs(x["token"])
+    length = np.diff(np.append(at, len(x)))
     for r in np.unique(length[length > 1]):
         starts = at[length == r]
         for i in range(r - 1):  # one member of each run against the later ones, some runs at a time

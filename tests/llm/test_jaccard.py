@@ -99,6 +99,31 @@ def test_shingles_of_all_tasks_are_counted(spark):
     assert of("of none") == 0
 
 
+def cells(rng, groups, tokens, share):
+    x = np.array([(t, g * 7919 + 1, 0, 0, 0) for t in range(tokens) for g in range(groups) if rng.random() < share], jaccard.CELL)
+    low = np.array([rng.choice([40, 50, 60, 65_535]) for _ in range(groups)], np.uint16)[x["group"] // 7919]
+    x["lo"], x["hi"] = low, np.minimum(low.astype(int) + 5, jaccard.MOST)
+    x["place"] = [rng.randrange(30) for _ in x]
+    return x
+
+
+def test_groups_that_share_many_shingles_meet_once(monkeypatch):
+    """Not once a shingle: they are counted by matrices, in strips, and no pair is lost, nor are its counts less."""
+    x = cells(random.Random(11), 90, 50, 0.8)
+    monkeypatch.setattr(jaccard, "DENSE", 1 << 60)
+    each = jaccard._merged_pairs(np.concatenate(list(jaccard._met(x, 0.6))))
+    monkeypatch.setattr(jaccard, "DENSE", 1)
+    monkeypatch.setattr(jaccard, "STRIP", 16)
+    parts = list(jaccard._met(x, 0.6))
+    dense = jaccard._merged_pairs(np.concatenate(parts))
+    assert sum(map(len, parts)) < 3 * len(dense)
+    found = {(r["g"], r["h"]): r for r in dense}
+    for r in each:
+        d = found[r["g"], r["h"]]
+        assert d["c"] >= r["c"] and d["early"] >= r["early"] and d["glo"] <= r["glo"] and d["hhi"] >= r["hhi"]
+    assert abs(int(dense["c"].sum()) - int(each["c"].sum())) < 0.1 * each["c"].sum()
+
+
 def test_chained_clusters_move_as_blocks(spark, monkeypatch):
     """A large component of clusters that are chained: its texts move by blocks of groups, not for each pair of groups."""
     rng = random.Random(13)
