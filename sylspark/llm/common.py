@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -59,6 +60,25 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_TURN: list = [None, ()]
+
+
+def turn(operator: str, *caches: dict) -> None:
+    """Called in a worker as a task of ``operator`` begins: the caches of another that ran before go, and free memory goes back.
+
+    Workers outlive stages; what one operator remembers is of no use to the next, and counts against its executor.
+    """
+    if _TURN[0] not in (None, operator):
+        for x in _TURN[1]:
+            x.clear()
+    _TURN[:] = operator, caches
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError, TypeError):  # another C library than glibc
+        pass
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

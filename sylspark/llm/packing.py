@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import chunks, encoder
-from .common import materialise, small_batches, strings
+from .common import materialise, small_batches, strings, turn
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length that one window group ranks.
@@ -95,6 +95,7 @@ def pieces(docs: DataFrame, seq_len: int = 1024, tokenizer: str | None = None, e
 
     def run(batches):
         enc = encoder(tokenizer)
+        turn("packing", enc.words, enc.tokens)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
             rows: list[list] = [[], [], [], [], [], []]

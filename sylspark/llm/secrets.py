@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings
+from .common import small_batches, strings, turn
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -147,6 +147,7 @@ def scan(docs: DataFrame, identifiers: str = IDENTIFIERS, novelty: float = NOVEL
     """
 
     def run(batches):
+        turn("secrets")
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             hashes, all_spans = [], []
@@ -175,6 +176,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]", identifiers: str = IDENTIF
     names = docs.columns
 
     def run(batches):
+        turn("secrets")
         for batch in batches:
             at = names.index("text")
             old = batch.column(at).to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, strings
+from .common import small_batches, strings, turn
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lists of identity terms; within a list, one is swapped for the next. In the order of languages en, de, fr, es.
@@ -104,6 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 10_000, features: int =
     small_batches(docs.sparkSession)
 
     def extract(batches):
+        turn("toxicity")
         for batch in batches:
             texts = strings(batch.column(0))
             data = [text_features(x).tobytes() for x in texts]
@@ -180,6 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 features of each selected word at most
 
     def run(batches):
+        turn("toxicity", shared.value._cache)
         for batch in batches:
             found = np.array([shared.value.score(x) for x in strings(batch.column(1))], float)
             out = [b"" if d is None else str(d).encode() for d in batch.column(0).to_pylist()]
@@ -199,6 +201,7 @@ def rejected(docs: DataFrame, model: Model, reject: bool = False) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
+        turn("toxicity", shared.value._cache)
         for batch in batches:
             yield batch.filter(pa.array([(shared.value.score(x) >= 0.5) == reject for x in strings(batch.column(at))], pa.bool_()))
 

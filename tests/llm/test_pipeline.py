@@ -1,5 +1,5 @@
 import corpus_pipeline
-from sylspark.llm import jaccard
+from sylspark.llm import common, jaccard
 
 from .test_jaccard import brute
 
@@ -43,3 +43,14 @@ def test_odd_rows_in_every_stage(spark, sf_dir):
             assert out.columns == list(corpus_pipeline.COLUMNS)
         assert sorted(str(r.doc_id) for r in out.select("doc_id").distinct().collect()) == ["1", "2", "3", "4", "5", *(["None"] if k != 1 else [])], name
         assert stage(spark, docs.limit(0), sf_dir).collect() == []
+
+
+def test_caches_of_another_operator_go():
+    words, ids = {"a": 1}, {"b": 2}
+    common.turn("packing", ids)
+    common.turn("packing", ids)
+    assert ids
+    common.turn("jaccard", words)
+    assert not ids and words
+    common.turn("toxicity")
+    assert not words
