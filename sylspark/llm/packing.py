@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, seq_len: int = 1024, tokenizer: str | None = None, e
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
             rows: list[list] = [[], [], [], [], [], []]
-            for at, some in chunks(texts):
+            for at, some in chunks(texts, 4_000_000):
                 for i, ids in enumerate(enc.encode_batch(some)):
                     ids += end
                     for k, (start, length) in enumerate(cut(ids, seq_len)):

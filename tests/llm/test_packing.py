@@ -95,3 +95,47 @@ def test_fullest_is_fullest(items):
 def test_cached_ids_are_the_library_s(text):
     enc = bpe.encoder()
     assert array("I", enc.encode_batch([text])[0]).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'st 12!_\n\n\t\r\x1céº日"), max_size=30), max_size=12))
+def test_ids_of_a_batch_are_the_library_s(texts):
+    """Words of all texts are learnt together, and cut before line ends."""
+    enc = bpe.encoder()
+    assert [array("I", x).tolist() for x in enc.encode_batch(texts)] == [enc.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+class Counting:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_go_to_the_library_many_at_once():
+    enc = bpe.Encoder()
+    library, enc.tokenizer = enc.tokenizer, (counting := Counting(enc.tokenizer))
+    text = "Begin " + " ".join(f"{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}é,\nb{'xyz'[k % 3]}" for k in range(1000))
+    for _ in range(2):
+        assert array("I", enc.encode_batch([text])[0]).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(counting.given) < 20
+
+
+def test_words_seen_again_outlive_the_others(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 100)
+    enc = bpe.Encoder()
+    library, enc.tokenizer = enc.tokenizer, (counting := Counting(enc.tokenizer))
+    for k in range(6):
+        text = "the of and " * 3 + " ".join(f"w{'abcdefgh'[j % 8]}{'abcdefgh'[j // 8]}{'qrstuv'[k]}" for j in range(60)) + " end"
+        assert array("I", enc.encode_batch([text])[0]).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(enc.words) <= 200
+    assert sum(" of" in x for x in counting.given) == 1
+
+
+def test_a_tokenizer_whose_ids_are_not_bytes():
+    enc = bpe.Encoder()
+    enc.n_bytes = enc.n_bytes + 1
+    text = "it's here, a text\nof words"
+    assert array("I", enc.encode_batch([text])[0]).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
