@@ -25,7 +25,7 @@ _WIDE = re.compile(r" (?:\s|$)")
 _BLANK = re.compile(r"\s\n(?:\s|$)")
 #: Words that may stand beside others in one text for the library.
 _WORD = re.compile(r"\n?\S+").fullmatch
-CACHE = 1_000_000
+CACHE = 500_000
 #: Ids that the words hold at most before the next batch.
 IDS = 16_000_000
 #: Words given to the library in one text.
