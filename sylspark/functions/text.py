@@ -47,14 +47,11 @@ def syllables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(key, F.posexplode(syllabify(F.col(text))).alias("pos", "syl"))
 
 
-#: Runs of the letters that syllables are made of, and single other code points: no syllable goes beyond one.
-RUN = "(?s)[A-Za-z]+|[^A-Za-z]"
-
-
 def syllable_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``syl, freq``: runs of letters are counted first, and each distinct one is cut once."""
-    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(RUN), 0)).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
-    return runs.select(F.explode(syllabify(F.col("run"))).alias("syl"), "n").groupBy("syl").agg(F.sum("n").alias("freq"))
+    """``syl, freq``: pieces between spaces are counted first, and each distinct one is cut once."""
+    from ..operators.pieces import syllable_counts
+
+    return syllable_counts(docs, text)
 
 
 def words(text: Column) -> Column:

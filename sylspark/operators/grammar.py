@@ -30,19 +30,13 @@ def array_pair_counts(seq: DataFrame, column: str) -> DataFrame:
 
 
 def text_pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``l, r, freq`` of neighbouring syllables: those inside a run of letters from counts of runs, those at its ends from counts of neighbouring runs.
+    """``l, r, freq`` of neighbouring syllables: pieces between spaces are counted first, and each distinct one is cut once.
 
-    One of two neighbouring runs is a single code point, so there are hardly more distinct pairs of them than runs.
+    What is asked of the counts is asked of them alone; were symbols cut in Spark, a filter on them would be moved to the texts.
     """
-    from ..functions.text import RUN, syllabify
-
-    runs = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z]{2,}"), 0)).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
-    s = runs.select(syllabify(F.col("run")).alias("s"), "n").where("size(s) > 1")
-    inside = s.select(F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("l"), F.slice("s", F.lit(2), F.size("s") - 1).alias("r"))).alias("p"), "n").select("p.l", "p.r", "n")
-    a = docs.select(F.regexp_extract_all(F.col(text), F.lit(RUN), 0).alias("a")).where("size(a) > 1")
-    met = a.select(F.explode(F.arrays_zip(F.slice("a", 1, F.size("a") - 1).alias("l"), F.slice("a", F.lit(2), F.size("a") - 1).alias("r"))).alias("p")).groupBy("p.l", "p.r").agg(F.count("*").alias("n"))
-    between = met.select(F.element_at(syllabify(F.col("l")), -1).alias("l"), F.element_at(syllabify(F.col("r")), 1).alias("r"), "n")
-    return inside.unionAll(between).groupBy("l", "r").agg(F.sum("n").alias("freq"))
+    from .pieces import pair_counts
+
+    return pair_counts(docs, text)
 
 
 def best_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
