@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
 import tempfile
 import uuid
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import BATCH, small_batches  # noqa: F401
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -48,17 +49,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes of an Arrow batch at most: whole texts come in batches, and a batch is held several times on its way.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the session's Arrow batches by ``BATCH``; smaller bounds of its own stay."""
-    for key, most in BATCH.items():
-        own = re.match(r"\d+", str(spark.conf.get(key)))
-        if not own or not 0 < int(own.group()) <= most:
-            spark.conf.set(key, str(most))
-
 
 _TURN: list = [None, ()]
 

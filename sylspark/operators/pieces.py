@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import small_batches
 from ..functions.text import SYLLABLE
 
 #: Pieces that are remembered, the bytes of the longest, and bytes of text after which counts are handed on.
@@ -76,8 +77,20 @@ def _counted(batches: Iterable[pa.RecordBatch], give: Callable[[Counter, Counter
     yield give(pieces, ends, spaces)
 
 
+def spelled(text: Column) -> Column:
+    """The syllables of a text, joined."""
+
+    @F.arrow_udf("string")
+    def run(text: pa.Array) -> pa.Array:
+        of = Remembered(lambda p: "".join(cut(p)).encode() if _UPPER.search(p.decode()) else p).__getitem__
+        return pa.array([None if t is None else b" ".join(map(of, t.split(b" "))) for t in texts(text)], pa.binary()).cast(pa.string())
+
+    return run(text)
+
+
 def syllable_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``syl, freq``."""
+    small_batches(docs.sparkSession)
 
     def give(pieces, ends, spaces):
         found: Counter = Counter({" ": spaces} if spaces else {})
@@ -91,6 +104,7 @@ def syllable_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``l, r, freq`` of neighbouring syllables: those of every piece between two spaces, less the spaces that no text begins or ends with."""
+    small_batches(docs.sparkSession)
 
     def give(pieces, ends, spaces):
         found: Counter = Counter()
