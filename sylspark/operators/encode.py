@@ -27,15 +27,17 @@ class Vocabulary:
         self.encoders: dict[str, Remembered] = {}
         self.spelling = self.sent = None
         self.longest: dict[str, int] = {}
+        self.longest_to: dict[str, int] = {}
         for s in self.ids:
             self.longest[s[0]] = max(self.longest.get(s[0], 0), len(s))
+            self.longest_to[s[-1]] = max(self.longest_to.get(s[-1], 0), len(s))
 
     def ltr(self, s: list[str]) -> list[int]:
         """Longest match from the left."""
-        out, i, n = [], 0, len(s)
+        s, out, i, n = tuple(s), [], 0, len(s)
         while i < n:
             for k in range(min(self.longest.get(s[i], 0), n - i), 0, -1):
-                if (found := self.ids.get(tuple(s[i : i + k]))) is not None:
+                if (found := self.ids.get(s[i : i + k])) is not None:
                     out.append(found)
                     i += k
                     break
@@ -45,19 +47,11 @@ class Vocabulary:
         return out
 
     def rtl(self, s: list[str]) -> list[int]:
-        """From the end, the longest match that starts where a match can end."""
-        n = len(s)
-        reach = [True] + [False] * n
-        for i in range(n):
-            if reach[i]:
-                reach[i + 1] = True  # an unknown syllable passes
-                for k in range(2, min(self.longest.get(s[i], 0), n - i) + 1):
-                    if tuple(s[i : i + k]) in self.ids:
-                        reach[i + k] = True
-        out, j = [], n
+        """From the end, the longest match that starts where a match can end: anywhere, as unknown syllables pass."""
+        s, out, j = tuple(s), [], len(s)
         while j:
-            for k in range(min(LONGEST, j), 0, -1):
-                if reach[j - k] and (found := self.ids.get(tuple(s[j - k : j]))) is not None:
+            for k in range(min(self.longest_to.get(s[j - 1], 0), j), 0, -1):
+                if (found := self.ids.get(s[j - k : j])) is not None:
                     out.append(found)
                     j -= k
                     break

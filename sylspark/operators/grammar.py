@@ -39,6 +39,15 @@ def text_pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return pair_counts(docs, text)
 
 
+def symbols_and_pairs(docs: DataFrame, pairs: Column, text: str = "text") -> DataFrame:
+    """``token, ord``: syllables (0) and what is written together of the pairs ``l, r, freq`` that are asked for (1), by one walk over the texts."""
+    from .pieces import counts
+
+    single = F.col("r").isNull()
+    token = F.when(single, F.col("l")).when(pairs, F.concat("l", "r"))
+    return counts(docs, text).select(token.alias("token"), F.when(single, 0).otherwise(1).alias("ord")).where("token is not null")
+
+
 def best_pairs(pairs: DataFrame, k: int = 1) -> DataFrame:
     """Most frequent first; ties to the larger left, then the larger right symbol."""
     return pairs.orderBy(F.desc("freq"), F.desc("l"), F.desc("r")).limit(k)

@@ -20,22 +20,19 @@ from ..batches import small_batches
 from ..functions.text import SYLLABLE
 
 #: Pieces that are remembered, the bytes of the longest, and bytes of text after which counts are handed on.
-MOST, LONG, TEXT = 300_000, 256, 64 << 20
+MOST, LONG, TEXT = 500_000, 256, 64 << 20
 #: Bytes of text that are laid out as arrays at once.
 PART = 4 << 20
 
 _SYLLABLE = re.compile(SYLLABLE)
 _VOWEL = re.compile("[aeiouAEIOU]")
-_UPPER = re.compile("[A-Z]")
 
 
 def cut(piece: bytes) -> list[str]:
     """The syllables of a piece, as ``syllabify`` gives them."""
     text = piece.decode()
     found = _SYLLABLE.findall(text)
-    if _UPPER.search(text):
-        return [s.lower() if _VOWEL.search(s) else s for s in found]
-    return found
+    return found if text == text.lower() else [s.lower() if _VOWEL.search(s) else s for s in found]
 
 
 class Remembered(dict):
@@ -82,7 +79,7 @@ def spelled(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(text: pa.Array) -> pa.Array:
-        of = Remembered(lambda p: "".join(cut(p)).encode() if _UPPER.search(p.decode()) else p).__getitem__
+        of = Remembered(lambda p: "".join(cut(p)).encode() if p != p.lower() else p).__getitem__
         return pa.array([None if t is None else b" ".join(map(of, t.split(b" "))) for t in texts(text)], pa.binary()).cast(pa.string())
 
     return run(text)
@@ -102,8 +99,11 @@ def syllable_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(lambda batches: _counted(batches, give), "syl string, n long").groupBy("syl").agg(F.sum("n").alias("freq"))
 
 
-def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``l, r, freq`` of neighbouring syllables: those of every piece between two spaces, less the spaces that no text begins or ends with."""
+def counts(docs: DataFrame, text: str = "text", syllables: bool = True) -> DataFrame:
+    """``l, r, freq`` of neighbouring syllables, and of single ones with ``r`` null: one walk over the texts.
+
+    Pairs are those of every piece between two spaces, less the spaces that no text begins or ends with.
+    """
     small_batches(docs.sparkSession)
 
     def give(pieces, ends, spaces):
@@ -114,10 +114,23 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 found[before, s] += n
                 before = s
             found[before, " "] += n
+        if syllables:  # of every piece, what follows something
+            own: Counter = Counter()
+            for (_, r), n in found.items():
+                own[r] += n
+            own[" "] = spaces
         for (piece, first), n in ends.items():
             s = cut(piece) or [" "]
             found[(" ", s[0]) if first else (s[-1], " ")] -= n
+        if syllables:
+            for s, n in own.items():
+                found[s, None] = n
         found = {p: n for p, n in found.items() if n}
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["l", "r", "n"])
 
     return docs.select(text).mapInArrow(lambda batches: _counted(batches, give), "l string, r string, n long").groupBy("l", "r").agg(F.sum("n").alias("freq"))
+
+
+def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``l, r, freq`` of neighbouring syllables."""
+    return counts(docs, text, syllables=False)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sylspark.functions import text as T
+from sylspark.operators import encode as E
 from sylspark.operators import grammar as G
 from sylspark.operators import pieces as P
 from sylspark.plans import grammars
@@ -64,3 +65,34 @@ def test_limits_of_a_worker_change_nothing():
 @pytest.mark.parametrize("name", ["locked_pair_freq", "rule_eff_freq", "vocab_dedup"])
 def test_filters_on_pairs_cut_no_text(spark, sf_dir, name):
     assert not asked_of_texts(getattr(grammars, name)(spark, sf_dir))
+
+
+def test_vocabulary_takes_one_walk(spark, sf_dir, docs):
+    plan = grammars._vocab(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp_extract_all(text" not in plan
+    got = {(r.token, r.ord) for r in G.symbols_and_pairs(docs, F.expr("freq >= 3")).collect()}
+    want = {(r.syl, 0) for r in T.syllable_counts(docs).collect()} | {(r.l + r.r, 1) for r in G.array_pair_counts(syllables(docs), "s").where("freq >= 3").collect()}
+    assert got == want
+    single = P.counts(docs).where("r is null").select(F.col("l").alias("syl"), "freq")
+    assert same(single, T.syllable_counts(docs))
+
+
+@pytest.mark.parametrize("tokens", [["a", "ba", "ki", "t", "tt", "naba", "kiba", "n", ".", "bakina", "\n", "so", " "], ["ba", "ki", "ba ki", "na", " ", "t"]])
+def test_encoding_by_pieces(spark, docs, tokens):
+    """Texts are encoded as their syllables are, also where a token has a space inside, and decoded by lookup."""
+    v = E.load(spark.createDataFrame([(t, 7 * k + 1) for k, t in enumerate(tokens)], "token string, token_id long"))
+    assert v.apart == ("ba ki" not in tokens)
+    plain = E.Vocabulary([(s, i) for s, i in v.ids.items()])
+    x = docs.select("doc_id", E.encode(F.col("text"), v).alias("a"), E.encode(F.col("text"), v, "rtl").alias("b"))
+    got = {r.doc_id: (r.a, r.b) for r in x.collect()}
+    want = {r.doc_id: (plain.ltr(list(r.s)), plain.rtl(list(r.s))) for r in syllables(docs).collect()}
+    assert all(got[k] == want.get(k, ([], [])) for k in got) and len(got) == docs.count()
+    back = {r.doc_id: r.text for r in E.decode(x, v, "a").collect()}
+    spell = {i: t for t, i in zip(tokens, range(1, 7 * len(tokens), 7))}
+    assert back == {k: "".join(spell.get(i, "") for i in a) for k, (a, _) in got.items() if a}
+    assert same(docs.select("doc_id", P.spelled(F.col("text")).alias("t")).where("t is not null"), syllables(docs).select("doc_id", F.array_join("s", "").alias("t")))
+
+
+def test_decoding_moves_no_ids(spark, sf_dir):
+    plan = grammars.decode_join(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
