@@ -65,6 +65,17 @@ def replace_once(seq: DataFrame, left, right, new, key: str = "doc_id", pos: str
     return x.where("not gone").select(key, pos, F.when(F.col("start"), F.lit(new)).otherwise(F.col(sym)).alias(sym))
 
 
+def text_replaced(docs: DataFrame, left: str, right: str, new: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n, replaced``: syllables of a text after ``replace_once``, and how many of them are ``new``; by the pieces between spaces, unless a space is replaced."""
+    from .pieces import sums
+
+    def measure(s):
+        out = _rewritten(s, left, right, new)
+        return len(out), out.count(new)
+
+    return sums(docs, measure, ["n", "replaced"], " " not in (left, right), key, text)
+
+
 def repair(sequences: list[tuple[list[str], int]], least: int = 3, max_rules: int = LIMIT, max_depth: int = 128, depth: dict[str, int] | None = None, known: set[str] | None = None) -> list[tuple[str, str, int]]:
     """(left, right, frequency) of the rules in order, over weighted sequences; a rule's symbol is its expansion.
 

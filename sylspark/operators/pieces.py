@@ -134,3 +134,95 @@ def counts(docs: DataFrame, text: str = "text", syllables: bool = True) -> DataF
 def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``l, r, freq`` of neighbouring syllables."""
     return counts(docs, text, syllables=False)
+
+
+class Table:
+    """Pieces by number: how many syllables each has, and columns of what is found in it, behind one another."""
+
+    def __init__(self, find: Callable[[list[str]], Iterable[tuple[int, ...]]], columns: int):
+        self.find, self.columns = find, columns
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.bytes, self.length, self.first = {}, 0, array("q"), array("q", [0])
+        self.found = [array("q") for _ in range(self.columns)]
+
+    def number(self, piece: bytes) -> int:
+        k = self.numbers.get(piece)
+        if k is None:
+            s = cut(piece)
+            for row in self.find(s):
+                for column, x in zip(self.found, row):
+                    column.append(x)
+            k = self.numbers[piece] = len(self.length)
+            self.length.append(len(s))
+            self.first.append(len(self.found[0]))
+            self.bytes += len(piece)
+        return k
+
+    def rows(self, own: list[bytes], apart: bool) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Of every find in the texts ``own``: the text's number, the number of syllables before the piece, and its columns."""
+        if len(self.numbers) > MOST or self.bytes > TEXT:
+            self.clear()
+        split = [t.split(b" ") for t in own] if apart else [[t] for t in own]
+        of = self.number
+        at = np.fromiter((of(p) for s in split for p in s), np.int64)
+        text = np.repeat(np.arange(len(own)), np.fromiter(map(len, split), np.int64, len(own)))
+        size = np.array(self.length)[at] + 1  # and the space after it
+        ends = np.cumsum(size)
+        starts = ends - size
+        new = np.flatnonzero(np.diff(text, prepend=-1))  # the first piece of each text
+        starts -= np.repeat(starts[new], np.diff(new, append=len(text)))
+        first = np.array(self.first)
+        n = first[at + 1] - first[at]
+        pick = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.repeat(text, n), np.repeat(starts, n), [np.array(c)[pick] for c in self.found]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Rows of a batch that have a text, a few megabytes at once, and the texts."""
+    at, own, size = [], [], 0
+    for k, t in enumerate(texts(batch.column(1))):
+        if t:
+            at.append(k), own.append(t)
+            size += len(t)
+        if size > PART:
+            yield np.array(at, np.int64), own
+            at, own, size = [], [], 0
+    if own:
+        yield np.array(at, np.int64), own
+
+
+def finds(docs: DataFrame, find: Callable[[list[str]], Iterable[tuple[int, ...]]], names: list[str], apart: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and int columns ``names`` of what ``find`` gives of the syllables of every piece; the first is a position, and is counted from the beginning of the text. With ``apart`` false, what is to be found may have spaces in it: the pieces are whole texts."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        table = Table(find, len(names))
+        for batch in batches:
+            for at, own in _parts(batch):
+                row, before, columns = table.rows(own, apart)
+                columns[0] += before
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[row])), *(pa.array(c, pa.int32()) for c in columns)], [key, *names])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} int" for n in names))
+
+
+def sums(docs: DataFrame, measure: Callable[[list[str]], tuple[int, ...]], names: list[str], apart: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and long columns ``names``: what ``measure`` gives of the syllables of a text's pieces and of a space between two, added up, for texts of a syllable at least."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        of = Remembered(lambda p: np.array(measure(cut(p)), np.int64)).__getitem__
+        space = np.array(measure([" "]), np.int64)
+        for batch in batches:
+            for at, own in _parts(batch):
+                split = [t.split(b" ") for t in own] if apart else [[t] for t in own]
+                size = np.fromiter(map(len, split), np.int64, len(own))
+                flat = np.array([of(p) for s in split for p in s])
+                total = np.add.reduceat(flat, np.cumsum(size) - size) + (size - 1)[:, None] * space
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(len(names)))], [key, *names])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, " + ", ".join(f"{n} long" for n in names))

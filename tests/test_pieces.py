@@ -9,6 +9,7 @@ from sylspark.functions import text as T
 from sylspark.operators import encode as E
 from sylspark.operators import grammar as G
 from sylspark.operators import pieces as P
+from sylspark.operators import truth
 from sylspark.plans import grammars
 
 ODD = ["", " ", "  ", " a", "a ", "tt ttt tTtt", None, "Webale nnyo, MPA! ggwe-embwa 12", "ŋŋoma é\n\n  nnYa", "bBa BBa x" * 40, "\t   \x00 😊😊 'n'", "abakiga na baka " * 3, "z" * 700 + " " + "ba" * 300]
@@ -96,3 +97,38 @@ def test_encoding_by_pieces(spark, docs, tokens):
 def test_decoding_moves_no_ids(spark, sf_dir):
     plan = grammars.decode_join(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Generate" not in plan
+
+
+@pytest.mark.parametrize("patterns", [["a", "ba", "na", "n", "bana", "kiba", "baki", "nn"], ["ba", "na ba", " ba", "ki"]])
+def test_matches_by_pieces(spark, docs, patterns, monkeypatch):
+    """Against windows over the syllables of whole texts, with small parts and a table that is emptied, also for patterns with a space."""
+    monkeypatch.setattr(P, "PART", 50)
+    p = spark.createDataFrame([(t, k) for k, t in enumerate(patterns, 1)], "pattern string, mask int").select("pattern", F.size(T.syllabify(F.col("pattern"))).alias("n"), "mask")
+    found = truth.matches(T.syllables(docs), p)
+    assert found.count() > 50
+    assert same(truth.text_matches(docs, p), found)
+    assert same(truth.text_longest(docs, p), truth.longest_at(found))
+    assert same(truth.text_locked(docs, p), truth.locked(found))
+
+
+def test_table_of_pieces_may_be_emptied(monkeypatch):
+    texts = [t.encode() for t in ODD if t]
+    find = lambda s: [(i, len(x)) for i, x in enumerate(s) if x in ("ba", "t")]
+    whole = [[c.tolist() for c in (r, b, *cs)] for r, b, cs in (P.Table(find, 2).rows(texts[k : k + 3], True) for k in range(0, len(texts), 3))]
+    monkeypatch.setattr(P, "MOST", 2)
+    table = P.Table(find, 2)
+    assert [[c.tolist() for c in (r, b, *cs)] for r, b, cs in (table.rows(texts[k : k + 3], True) for k in range(0, len(texts), 3))] == whole
+
+
+@pytest.mark.parametrize("pair", [("t", "t"), ("ba", "ki"), ("ba", " "), ("x", "ba")])
+def test_sums_by_pieces(docs, pair):
+    out = G.replace_once(T.syllables(docs), *pair, "new", sym="syl")
+    want = out.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum((F.col("syl") == "new").cast("long")).alias("replaced"))
+    assert same(G.text_replaced(docs, *pair, "new"), want)
+
+
+@pytest.mark.parametrize("name", ["truth_matches", "truth_longest_prefix", "span_boundary_range_join", "unk_rate", "pair_replace_once"])
+def test_texts_are_not_taken_apart_into_rows(spark, sf_dir, name):
+    """No syllable is moved: the one exchange spreads texts of few splits."""
+    plan = getattr(grammars, name)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Aggregate", "Generate", "Join"))
