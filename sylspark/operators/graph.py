@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ..batches import small_batches
+from .pieces import parts
+
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, chain, pos, token``: ASCII lower case, words and single punctuation; ``. ? !`` end a chain."""
@@ -20,6 +27,46 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return x.withColumn("chain", chain)
 
 
+_TOKEN = re.compile(rb"[^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]")
+
+
+#: Bytes of tokens whose pairs are counted at once.
+TOKENS = 32 << 20
+
+
+def text_edges(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``edges`` of the chains of ``tokens``, made and first counted where the texts are: a token and the next, unless the first ends a chain."""
+    small_batches(docs.sparkSession)
+
+    def counted(tokens, stays):
+        known = pa.concat_arrays(tokens).dictionary_encode()
+        at, words, joined = known.indices.to_numpy().astype(np.int64), known.dictionary, np.concatenate(stays)
+        if not len(at):
+            return pa.RecordBatch.from_pydict({"src": [], "dst": [], "n": []}, pa.schema([("src", pa.string()), ("dst", pa.string()), ("n", pa.int64())]))
+        pairs = (at[:-1] * len(words) + at[1:])[joined[:-1]]
+        pairs, n = np.unique(pairs, return_counts=True)
+        return pa.RecordBatch.from_arrays([words.take(pa.array(pairs // len(words))), words.take(pa.array(pairs % len(words))), pa.array(n, pa.int64())], ["src", "dst", "n"])
+
+    def run(batches):
+        ends, tokens, stays, size = pa.array([".", "?", "!"]), [], [], 0
+        for batch in batches:
+            for _, own in parts(batch):
+                found = [_TOKEN.findall(t.lower()) for t in own]  # bytes: ASCII only
+                tokens.append(pa.array([x for f in found for x in f], pa.binary()).cast(pa.string()))
+                stay = ~pc.is_in(tokens[-1], ends).to_numpy(zero_copy_only=False)
+                last = np.cumsum([len(f) for f in found]) - 1
+                stay[last[last >= 0]] = False
+                stays.append(stay)
+                size += tokens[-1].nbytes
+                if size > TOKENS:
+                    yield counted(tokens, stays)
+                    tokens, stays, size = [], [], 0
+        if tokens:
+            yield counted(tokens, stays)
+
+    return docs.select(F.lit(0).alias("key"), text).mapInArrow(run, "src string, dst string, n long").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
+
+
 def edges(chain: DataFrame, keys: list[str], order: list[str], token: str = "token") -> DataFrame:
     """``src, dst, weight``: how often one token follows another in a chain."""
     after = F.lead(token).over(Window.partitionBy(*keys).orderBy(*order))

@@ -179,7 +179,7 @@ class Table:
         return np.repeat(text, n), np.repeat(starts, n), [np.array(c)[pick] for c in self.found]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def parts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Rows of a batch that have a text, a few megabytes at once, and the texts."""
     at, own, size = [], [], 0
     for k, t in enumerate(texts(batch.column(1))):
@@ -200,7 +200,7 @@ def finds(docs: DataFrame, find: Callable[[list[str]], Iterable[tuple[int, ...]]
     def run(batches):
         table = Table(find, len(names))
         for batch in batches:
-            for at, own in _parts(batch):
+            for at, own in parts(batch):
                 row, before, columns = table.rows(own, apart)
                 columns[0] += before
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[row])), *(pa.array(c, pa.int32()) for c in columns)], [key, *names])
@@ -217,7 +217,7 @@ def sums(docs: DataFrame, measure: Callable[[list[str]], tuple[int, ...]], names
         of = Remembered(lambda p: np.array(measure(cut(p)), np.int64)).__getitem__
         space = np.array(measure([" "]), np.int64)
         for batch in batches:
-            for at, own in _parts(batch):
+            for at, own in parts(batch):
                 split = [t.split(b" ") for t in own] if apart else [[t] for t in own]
                 size = np.fromiter(map(len, split), np.int64, len(own))
                 flat = np.array([of(p) for s in split for p in s])

@@ -16,7 +16,7 @@ EDGES = f"{TOK}, e0 AS (SELECT token AS src, lead(token) OVER (PARTITION BY doc_
 
 
 def _edges(spark, d):
-    return G.edges(G.tokens(table(spark, d, "documents")), ["doc_id", "chain"], ["pos"])
+    return G.text_edges(table(spark, d, "documents"))
 
 
 @query(f"WITH {TOK} SELECT token, count(*) AS freq FROM tok GROUP BY token")

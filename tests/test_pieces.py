@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sylspark.functions import text as T
 from sylspark.operators import encode as E
 from sylspark.operators import grammar as G
+from sylspark.operators import graph
 from sylspark.operators import pieces as P
 from sylspark.operators import truth
 from sylspark.plans import grammars
@@ -132,3 +133,22 @@ def test_texts_are_not_taken_apart_into_rows(spark, sf_dir, name):
     """No syllable is moved: the one exchange spreads texts of few splits."""
     plan = getattr(grammars, name)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Window", "Aggregate", "Generate", "Join"))
+
+
+@pytest.mark.parametrize("most", [1, 32 << 20])
+def test_edges_where_the_texts_are(spark, docs, most, monkeypatch):
+    """Against windows over the chains of whole texts, counted at once and a few texts at a time; what isn't ASCII is no white space and keeps its case."""
+    monkeypatch.setattr(graph, "TOKENS", most)
+    odd = [(900 + k, t) for k, t in enumerate(["A b. C", ".", "..", "\n", "ÉA éa \x0b x\x1cy\x85z", "a?b!c", "end", "Start", None, "the the the the"])]
+    x = docs.unionAll(spark.createDataFrame(odd, "doc_id long, text string"))
+    found = graph.text_edges(x)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert same(found, graph.edges(graph.tokens(x), ["doc_id", "chain"], ["pos"]))
+    assert graph.text_edges(x.where("doc_id = 903")).count() == 0
+
+
+def test_edge_queries_sort_no_tokens(spark, sf_dir):
+    from sylspark.plans import graphs
+
+    for name in ("telemetry", "bulk_prior_merge", "bigram_edges"):
+        assert "Window" not in getattr(graphs, name)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
