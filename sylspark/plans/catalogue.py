@@ -23,9 +23,9 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts in fewer splits than there are cores are spread first, as what is done with them costs far more than moving them."""
+    """A table; texts and vectors in fewer splits than there are cores are spread first, as what is done with them costs far more than moving them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "documents" and df._jdf.rdd().getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
+    if name in ("documents", "embeddings") and df._jdf.rdd().getNumPartitions() < (cores := spark.sparkContext.defaultParallelism):
         return df.repartition(cores)
     return df
 
