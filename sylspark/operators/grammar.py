@@ -173,23 +173,22 @@ def train(docs: DataFrame, text: str = "text", least: int = 3, max_rules: int =
     rewrites only lower counts, so words fall apart at such pairs, equal pieces add up, and the driver trains on the
     pieces. The frequency is chosen so that there are ``pieces`` of them or fewer, if more than the most frequent pairs are
     asked for. A rule whose symbol was there before raises counts, and ends its round. Then the rules are applied to all words.
-    The rules are those of ``repair`` over all words.
+    The rules are those of ``repair`` over all words. A word moves as one string, its symbols with a space between: none has one in it.
     """
-    from ..functions.text import syllabify
     from .graph import _written as materialise
+    from .pieces import word_counts
 
     spark = docs.sparkSession
     pieces = pieces or PIECES
-    counted = docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("w")).where("w <> ''").groupBy("w").count()
-    seq = materialise(counted.select(syllabify(F.col("w")).alias("s"), F.col("count").alias("n")).where("size(s) > 1").groupBy("s").agg(F.sum("n").alias("n")), "words")
-    known = {r[0] for r in seq.select(F.explode("s").alias("y")).where("char_length(y) > 1").distinct().collect()}  # syllables: bounded by their patterns
+    seq = materialise(word_counts(docs, text), "words")
+    known = {r[0] for r in seq.select(F.explode(F.split("s", " ")).alias("y")).where("char_length(y) > 1").distinct().collect()}  # syllables: bounded by their patterns
     rules: list[tuple[str, str, int]] = []
     depth: dict[str, int] = {}
     width = 2048
     while len(rules) < max_rules:
         last = F.size("s") - 1
         zipped = F.arrays_zip(F.slice("s", 1, last).alias("l"), F.slice("s", F.lit(2), last).alias("r"))
-        pairs = materialise(seq.select(F.explode(zipped).alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least), "pairs")
+        pairs = materialise(seq.select(F.split("s", " ").alias("s"), "n").select(F.explode(zipped).alias("p"), "n").groupBy("p.l", "p.r").agg(F.sum("n").alias("freq")).where(F.col("freq") >= least), "pairs")
 
         def top(k):
             found = [r for r in pairs.orderBy(F.desc("freq")).limit(k + 1 + deep).collect()]
@@ -211,7 +210,7 @@ def train(docs: DataFrame, text: str = "text", least: int = 3, max_rules: int =
             width = max(1, min(width, len(found)) // 2)
         if n < pieces // 3:
             width *= 2
-        new = repair([(list(r.s), int(r.n)) for r in cut.toLocalIterator()], level, max_rules - len(rules), max_depth, depth, known)
+        new = repair([(r.s.split(" "), int(r.n)) for r in cut.toLocalIterator()], level, max_rules - len(rules), max_depth, depth, known)
         rules += new
         if len(rules) >= max_rules:
             break
@@ -229,17 +228,17 @@ def _pieces(seq: DataFrame, shared) -> DataFrame:
     def run(batches):
         kept = shared.value
         for batch in batches:
-            found: dict[tuple, int] = defaultdict(int)
+            found: dict[str, int] = defaultdict(int)
             for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = 0
+                s, at = s.split(" "), 0
                 for i in range(1, len(s) + 1):
                     if i == len(s) or (s[i - 1], s[i]) not in kept:
                         if i - at > 1:
-                            found[tuple(s[at:i])] += n
+                            found[" ".join(s[at:i])] += n
                         at = i
-            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in found], pa.list_(pa.string())), pa.array(list(found.values()), pa.int64())], ["s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
 
-    return seq.mapInArrow(run, "s array<string>, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    return seq.mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
 
 
 def _reduced(seq: DataFrame, shared) -> DataFrame:
@@ -248,11 +247,11 @@ def _reduced(seq: DataFrame, shared) -> DataFrame:
     def run(batches):
         order = shared.value
         for batch in batches:
-            done = [(_applied(s, order), n) for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            done = [(_applied(s.split(" "), order), n) for s, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             done = [x for x in done if len(x[0]) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.list_(pa.string())), pa.array([n for _, n in done], pa.int64())], ["s", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(s) for s, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["s", "n"])
 
-    return seq.mapInArrow(run, "s array<string>, n long")
+    return seq.mapInArrow(run, "s string, n long")
 
 
 def effective(rules: DataFrame, id_: str = "rule_id", left: str = "l", right: str = "r") -> DataFrame:

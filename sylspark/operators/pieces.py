@@ -136,6 +136,36 @@ def pair_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts(docs, text, syllables=False)
 
 
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``s, n``: words, as what stands between white space, as their syllables with a space between, of which they have two at least.
+
+    Words are cut where they are counted.
+    """
+    small_batches(docs.sparkSession)
+
+    def give(words):
+        found: Counter = Counter()
+        for word, n in words.items():
+            s = cut(word)
+            if len(s) > 1:
+                found[" ".join(s)] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["s", "n"])
+
+    def run(batches):
+        words, size = Counter(), 0
+        for batch in batches:
+            for text in texts(batch.column(0)):
+                if text:
+                    words.update(text.split())  # bytes: ASCII white space only
+                    size += len(text)
+                    if size > TEXT:
+                        yield give(words)
+                        words, size = Counter(), 0
+        yield give(words)
+
+    return docs.select(text).mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+
+
 class Table:
     """Pieces by number: how many syllables each has, and columns of what is found in it, behind one another."""
 

@@ -152,3 +152,14 @@ def test_edge_queries_sort_no_tokens(spark, sf_dir):
 
     for name in ("telemetry", "bulk_prior_merge", "bigram_edges"):
         assert "Window" not in getattr(graphs, name)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_cut_where_they_are_counted(spark, docs):
+    """Against splitting texts and cutting words in rows; white space is ASCII, and a word moves once, as a string."""
+    x = docs.unionAll(spark.createDataFrame([(800, "ba\tki\x0bba ki so BaKi\fbaki\x1cba  \r\n")], docs.schema))
+    words = x.select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''").select(T.syllabify(F.col("w")).alias("s")).where("size(s) > 1")
+    found = P.word_counts(x)
+    assert found.schema["s"].dataType.simpleString() == "string"
+    assert same(found, words.groupBy(F.array_join("s", " ").alias("s")).agg(F.count("*").alias("n")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("Aggregate") == 1
